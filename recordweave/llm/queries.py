@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_orc
+from . import packing, token_orc, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op2_token_orc": token_orc.query,
     "op10_packing": packing.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE}
