@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, token_orc, warc
+from . import exact_dedup, packing, token_orc, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_token_orc": token_orc.query,
+    "op9_exact_dedup": exact_dedup.query,
     "op10_packing": packing.query,
 }
 
-ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE}
+ORACLES: dict[str, str] = {"op1_warc": warc.ORACLE, "op9_exact_dedup": exact_dedup.ORACLE}
