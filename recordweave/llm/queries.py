@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, packing, token_orc, warc
+from . import exact_dedup, packing, quality, token_orc, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op2_token_orc": token_orc.query,
+    "op8_quality": quality.query,
     "op9_exact_dedup": exact_dedup.query,
     "op10_packing": packing.query,
 }
