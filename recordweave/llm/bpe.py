@@ -41,8 +41,9 @@ class Encoder:
         self.newline = self.tok.encode("\n", add_special_tokens=False).ids[0]
 
     def _learn(self, missing: list[str]) -> None:
-        alone = [w for w in missing if "\n" in w or w.isspace()]
-        joined = [w for w in missing if not ("\n" in w or w.isspace())]
+        # a pre-token that ends in white space is white space throughout
+        alone = [w for w in missing if w[-1].isspace()]
+        joined = [w for w in missing if not w[-1].isspace()] if alone else missing
         for i in range(0, len(alone), 4096):
             part = alone[i : i + 4096]
             for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):

@@ -30,22 +30,26 @@ _STATE_CONF = {
 
 
 def update_state(spark: SparkSession, source: str, folder: str) -> DataFrame:
-    """Run the stream over ``source`` (a parquet path) up to its end; the state of every digest.
+    """Run the stream over ``source`` up to its end; the state of every digest.
 
+    ``source`` is a parquet path with doc_id and text, or with doc_id, digest and n_bytes.
     ``folder`` holds the stream's checkpoint and the changes of each batch, and may
     be used again after rows were added to ``source``.
     """
-    schema = spark.read.parquet(source).select("doc_id", "text").schema
+    given = spark.read.parquet(source)
+    digested = "digest" in given.columns
+    schema = given.select(*(["doc_id", "digest", "n_bytes"] if digested else ["doc_id", "text"])).schema
     before = {k: spark.conf.get(k, None) for k in _STATE_CONF}
     for k, v in _STATE_CONF.items():
         spark.conf.set(k, v)
     try:
-        text = F.coalesce("text", F.lit(""))
+        text = F.coalesce("text", F.lit("")) if not digested else None
+        digest, n_bytes = (F.col("digest"), F.col("n_bytes")) if digested else (F.sha2(text, 256), F.octet_length(text).cast("long"))
         state = (
             spark.readStream.schema(schema).parquet(f"{source[:-1]}[{source[-1]}]")  # as a pattern, which may be one file too
             .select(
-                F.sha2(text, 256).alias("digest"), F.col("doc_id").cast("long").alias("doc_id"),
-                F.struct(F.octet_length(text).cast("long").alias("n_bytes"), F.col("_metadata.file_path").alias("file")).alias("locator"),
+                digest.alias("digest"), F.col("doc_id").cast("long").alias("doc_id"),
+                F.struct(n_bytes.alias("n_bytes"), F.col("_metadata.file_path").alias("file")).alias("locator"),
             )
             .groupBy("digest")
             .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max("locator").alias("locator"))
@@ -66,27 +70,43 @@ def update_state(spark: SparkSession, source: str, folder: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, state: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256, by the digests in ``state``."""
+    """Every row of ``docs`` with keep_id, group_size, kept and text_sha256, by the digests in ``state``.
+
+    A column ``row`` is carried along.
+    """
+    extra = [c for c in docs.columns if c == "row"]
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"), *extra)
     many = state.where("group_size > 1").select("digest", "keep_id", "group_size")
     found = rows.join(many, rows.text_sha256 == many.digest, "left")
-    alone = found.where("digest is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    hits = found.where("digest is not null").select("doc_id", "keep_id", "group_size", "text_sha256", "text")
+    alone = found.where("digest is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *extra)
+    hits = found.where("digest is not null").select("doc_id", "keep_id", "group_size", "text_sha256", "text", *extra)
     # the bytes of the rows that stay, one for each digest; a hit must equal them
     stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("text").alias("stay_text"))
     compared = hits.join(stays, "text_sha256", "left").withColumn("same", F.col("text").eqNullSafe(F.col("stay_text")))
-    return alone.unionByName(compared.where("same").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")).unionByName(_by_bytes(compared.where("not same")))
+    return alone.unionByName(compared.where("same").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *extra)).unionByName(_by_bytes(compared.where("not same")))
 
 
 def _by_bytes(rows: DataFrame) -> DataFrame:
     """Rows whose digest met different bytes, grouped by the bytes themselves."""
     best = rows.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("best"), F.count("*").alias("n"))
     return rows.drop("keep_id", "group_size").join(best, ["text_sha256", "text"]).select(
-        "doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("best")).alias("kept"), "text_sha256"
+        "doc_id", F.col("best").alias("keep_id"), F.col("n").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("best")).alias("kept"), "text_sha256", *(c for c in rows.columns if c == "row")
     )
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns; of rows with equal id and text one stays."""
+    spark, folder = docs.sparkSession, shared_dir(docs.sparkSession, "exact-dedup")
+    text = F.coalesce("text", F.lit(""))
+    arrivals = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
+    arrivals.write.parquet(f"{folder}/arrivals")
+    state = update_state(spark, f"{folder}/arrivals", folder)
+    found = deduplicate(spark, docs.select("doc_id", "text", F.struct(*docs.columns).alias("row")), state).where("kept")
+    many = found.where("group_size > 1").dropDuplicates(["doc_id", "text_sha256"])
+    return found.where("group_size = 1").unionByName(many).select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     source = f"{sf_dir.rstrip('/')}/documents.parquet"
     state = update_state(spark, source, shared_dir(spark, "exact-dedup"))

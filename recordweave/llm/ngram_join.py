@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, ngrams, release_shuffles, shared_dir, signed, small_batches, table, text_bytes
+from .common import Words, blocks, cut, inside, ngrams, release_shuffles, row_key, shared_dir, signed, small_batches, table, text_bytes
 from .components import components
 
 K = 5
@@ -209,7 +209,7 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
     wanted = members.select("x").distinct()
     # a text for each node whose lists have another member
     texts = sig.where("x is not null").groupBy("x").agg(F.min("k").alias("k")).join(wanted, "x")
-    keyed = docs.withColumn("k", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).select("k", "text")
+    keyed = docs.withColumn("k", row_key()).select("k", "text")
     chosen = keyed.join(texts, "k").select("x", "text")
     sets = cut(chosen.mapInArrow(_sets(k), "x long, tokens binary").dropDuplicates(["x"]), f"{folder}/sets")
     release_shuffles(spark)
@@ -251,23 +251,36 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row of ``docs``: components of similarity >= 0.8."""
+    """doc_id, n_shingles, component_id of every row of ``docs``: components of similarity >= 0.8.
+
+    Also ``k``, a key of the row's id and text, and ``component``, a key of its component.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = shared_dir(spark, "ngram-join")
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
-    sig = docs.withColumn("k", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).mapInArrow(_signatures(k, frequent), "doc_id long, n long, x long, prefix array<long>, k long")
+    sig = docs.withColumn("k", row_key()).mapInArrow(_signatures(k, frequent), "doc_id long, n long, x long, prefix array<long>, k long")
     sig = cut(sig, f"{folder}/signatures")
     links = _links(docs, sig, folder, k)
     classes = sig.where("x is not null").groupBy("x").agg(F.min("doc_id").alias("low"))
     if links is None or links.isEmpty():
-        named = classes.select("x", F.col("low").alias("component_id"))
+        named = classes.select("x", F.col("x").alias("component"), F.col("low").alias("component_id"))
     else:
         labels = classes.join(components(links).withColumnRenamed("node", "x"), "x", "left").select("x", "low", F.coalesce("label", "x").alias("label"))
-        named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("x", "component_id")
-    return sig.select("doc_id", F.col("n").alias("n_shingles"), "x").join(named, "x", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+        named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("x", F.col("label").alias("component"), "component_id")
+    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), "x", "k").join(named, "x", "left")
+    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k", "component")
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """One row of each component (the least id), with all its columns; rows without words all stay."""
+    found = join(docs)
+    first = found.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "k")).alias("first")).select("first.k")
+    alone = found.where("component IS NULL").select("k")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("k"))
+    return keyed.join(first.unionByName(alone).distinct(), "k", "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")

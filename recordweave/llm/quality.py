@@ -56,10 +56,11 @@ def _words() -> Column:
 def measure(docs: DataFrame) -> DataFrame:
     """Base counts and character classes of every document, with its words."""
     text = F.coalesce("text", F.lit(""))
-    plain = docs.select("doc_id", "lang", text.alias("text"), _words().alias("words"))
+    carried = [c for c in docs.columns if c == "row"]
+    plain = docs.select("doc_id", "lang", *carried, text.alias("text"), _words().alias("words"))
     lines = plain.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))).withColumn("rest", F.regexp_replace("text", "[A-Za-z]+", ""))
     counted = lines.select(
-        "doc_id", "lang", "words",
+        "doc_id", "lang", "words", *carried,
         F.size("words").cast("long").alias("n_words"),
         F.char_length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.char_length("rest") - F.char_length(F.regexp_replace("rest", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -148,9 +149,15 @@ def judge(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     near = F.coalesce(F.col("char_distance") <= MAX_CHAR_DISTANCE, F.lit(True)) & F.coalesce(F.col("word_distance") <= MAX_WORD_DISTANCE, F.lit(True))
     return rows.withColumn("base_failed", failed).withColumn("kept", ~failed & near).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"
+        *(c for c in docs.columns if c == "row"), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"
     )
 
 
+def keep(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that pass, with all their columns."""
+    rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
+    return judge(rows, references(docs)).where("kept").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))

@@ -113,9 +113,9 @@ def _paths(width: int, seed: int):
     return run
 
 
-_OUT = "kind string, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, source long, at int, n int, digest binary"
+_OUT = "kind string, k long, doc_id long, n_words long, n_removed long, kept_sha256 string, kept string, source long, at int, n int, digest binary"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
-_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
+_TYPES = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
 def _remove(width: int, with_text: bool):
@@ -124,7 +124,7 @@ def _remove(width: int, with_text: bool):
             rows = []
             spans, asked = batch.column("spans").to_pylist(), batch.column("asked").to_pylist()
             off, data = text_bytes(batch.column("text"))
-            ids = batch.column("doc_id").to_pylist()
+            ids, keys = batch.column("doc_id").to_pylist(), batch.column("k").to_pylist()
             raw = data.tobytes()
             for i in range(batch.num_rows):
                 words = Words(np.array([0, off[i + 1] - off[i]]), data[off[i] : off[i + 1]])
@@ -136,12 +136,12 @@ def _remove(width: int, with_text: bool):
                     gone[s["s"]] += 1
                     gone[s["e"] + width - 1] -= 1
                     size = s["e"] - s["s"] + width - 1
-                    rows.append(("target", ids[i], None, None, None, None, s["source"], s["at"], size, hashlib.sha1(b" ".join(word[s["s"] : s["s"] + size])).digest()))
+                    rows.append(("target", keys[i], ids[i], None, None, None, None, s["source"], s["at"], size, hashlib.sha1(b" ".join(word[s["s"] : s["s"] + size])).digest()))
                 removed = np.cumsum(gone)[:n] > 0
                 kept = b" ".join(word[j] for j in np.flatnonzero(~removed)) if removed.any() else b" ".join(word)
-                rows.append(("row", ids[i], n, int(removed.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text else None, None, None, None, None))
+                rows.append(("row", keys[i], ids[i], n, int(removed.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if with_text and removed.any() else None, None, None, None, None))
                 for q in asked[i] or ():
-                    rows.append(("source", ids[i], None, None, None, None, q["source"], q["at"], q["n"], hashlib.sha1(b" ".join(word[q["at"] : q["at"] + q["n"]])).digest()))
+                    rows.append(("source", keys[i], ids[i], None, None, None, None, q["source"], q["at"], q["n"], hashlib.sha1(b" ".join(word[q["at"] : q["at"] + q["n"]])).digest()))
                 if len(rows) >= 2000:
                     yield _rows(rows)
                     rows = []
@@ -185,7 +185,7 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
 
 
 def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 (and kept, the words that stay) of every row of ``docs``."""
+    """doc_id, n_words, n_removed, kept_sha256 (and kept: the words that stay, null if all do; and k) of every row of ``docs``."""
     if not 1 <= seed <= width:
         raise ValueError("seed must lie between 1 and width")
     spark = docs.sparkSession
@@ -198,7 +198,7 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: boo
         asked = spans.select("source", "at", (F.col("e") - F.col("s") + width - 1).alias("n")).distinct()
         asked = asked.groupBy(F.col("source").alias("k")).agg(F.collect_list(F.struct("source", "at", "n")).alias("asked"))
         both = mine.join(asked, "k", "full")
-        out = cut(docs.join(both, "k", "left").select("doc_id", "text", "spans", "asked").mapInArrow(_remove(width, with_text), _OUT), f"{folder}/out-{attempt}")
+        out = cut(docs.join(both, "k", "left").select("k", "doc_id", "text", "spans", "asked").mapInArrow(_remove(width, with_text), _OUT), f"{folder}/out-{attempt}")
         key = ["source", "at", "n"]
         wrong = out.where("kind = 'target'").select(*key, "digest").distinct().join(out.where("kind = 'source'").select(*key, F.col("digest").alias("there")).distinct(), key).where("digest <> there").select(*key).distinct()
         if wrong.isEmpty():
@@ -207,7 +207,16 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: boo
         wrong = wrong.withColumn("e_s", F.col("n") - (width - 1)).select("source", "at", "e_s")
         spans, attempt = cut(spans.withColumn("e_s", F.col("e") - F.col("s")).join(wrong, ["source", "at", "e_s"], "left_anti").drop("e_s"), f"{folder}/spans-{attempt}"), attempt + 1
     rows = out.where("kind = 'row'")
-    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else []))
+    return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["k", "kept"] if with_text else []))
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """``docs`` without repeated words; rows of which no word is left go, ``n_chars`` follows the text."""
+    found = remove(docs, with_text=True).where("n_removed > 0").select(F.col("k").alias("_k"), F.col("kept").alias("_kept")).dropDuplicates(["_k"])
+    rows = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("_k")).join(found, "_k", "left").where("_kept IS NULL OR _kept <> ''")
+    text = F.coalesce("_kept", "row.text")
+    columns = [text.alias(c) if c == "text" else F.when(F.col("_kept").isNull(), F.col("row.n_chars")).otherwise(F.char_length("_kept")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`") for c in docs.columns]
+    return rows.select(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
