@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import cut, shared_dir, table
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -77,14 +77,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, state: DataFrame) -> DataF
     extra = [c for c in docs.columns if c == "row"]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"), *extra)
-    many = state.where("group_size > 1").select("digest", "keep_id", "group_size")
-    found = rows.join(many, rows.text_sha256 == many.digest, "left")
-    alone = found.where("digest is null").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *extra)
-    hits = found.where("digest is not null").select("doc_id", "keep_id", "group_size", "text_sha256", "text", *extra)
+    many = state.where("group_size > 1").select(F.col("digest").alias("text_sha256"), "keep_id", "group_size")
+    alone = rows.select("doc_id", "text_sha256", *extra).join(many, "text_sha256", "left_anti")
+    alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *extra)
+    # rows whose digest was seen before, with their bytes: written once, as what follows reads them several times
+    hits = cut(rows.join(many, "text_sha256"), f"{shared_dir(spark, 'hits')}")
     # the bytes of the rows that stay, one for each digest; a hit must equal them
     stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("text").alias("stay_text"))
     compared = hits.join(stays, "text_sha256", "left").withColumn("same", F.col("text").eqNullSafe(F.col("stay_text")))
-    return alone.unionByName(compared.where("same").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *extra)).unionByName(_by_bytes(compared.where("not same")))
+    same = compared.where("same").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *extra)
+    out = alone.unionByName(same)
+    differ = compared.where("not same")
+    return out if differ.isEmpty() else out.unionByName(_by_bytes(differ.drop("stay_text", "same")))
 
 
 def _by_bytes(rows: DataFrame) -> DataFrame:
