@@ -196,52 +196,73 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=["c", "y", "linked"])
 
 
+def _short_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (c, y) that meet in lists of at most SMALL members and may link.
+
+    Of two prefixes in one order, the one that ends first holds every shared token up to
+    there in common with the other; so a pair that links shares at least p - (n - T) of
+    its p prefix tokens, T being the overlap it needs. Tokens with long lists are not
+    counted here, so as many as either node has of them are allowed for.
+    """
+    met = members.where(F.col("size") <= SMALL).groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("xs")).groupBy("xs").agg(F.count("*").alias("times"))
+    pairs = met.select("times", F.explode("xs").alias("c"), "xs").select("times", "c", F.explode("xs").alias("y")).where("c < y").groupBy("c", "y").agg(F.sum("times").alias("s"))
+    of = lambda name: sizes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("long").alias(f"long_{name}"))
+    both = pairs.join(of("c"), "c").join(of("y"), "y").withColumn("need", F.expr("(4 * (n_c + n_y) + 8) div 9"))
+    least = F.expr("least(n_c div 5 + 1 - (n_c - need), n_y div 5 + 1 - (n_y - need))")
+    return both.where("need <= n_c AND need <= n_y").where(F.col("s") + F.least("long_c", "long_y") >= least).select("c", "y")
+
+
 def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame | None:
     """Links (a, b) between nodes that give the components of all links."""
     spark = docs.sparkSession
     nodes = sig.where("x is not null").groupBy("x").agg(F.min(F.struct("n", "prefix")).alias("s")).select("x", "s.n", "s.prefix")
-    lists = nodes.select("x", "n", F.explode("prefix").alias("t"))
-    shared = lists.groupBy("t").agg(F.count("*").alias("size"), F.min("x").alias("first")).where("size > 1")
-    members = cut(lists.join(shared, "t").select("t", "x", "n", "size", F.lit(False).alias("linked")), f"{folder}/members-0")
+    nodes = cut(nodes, f"{folder}/nodes")
+    lists = nodes.select("x", F.explode("prefix").alias("t"))
+    shared = lists.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
+    members = cut(lists.join(shared, "t").select("t", "x", "size", F.lit(False).alias("linked")), f"{folder}/members-0")
+    release_shuffles(spark)
     if members.isEmpty():
         return None
-    release_shuffles(spark)
-    wanted = members.select("x").distinct()
-    # a text for each node whose lists have another member
+    # of each node: its tokens, and its tokens with long lists, which do not meet in full
+    sizes = nodes.select("x", "n").join(members.groupBy("x").agg(F.count_if(F.col("size") > SMALL).alias("long")), "x")
+    sizes = cut(sizes, f"{folder}/sizes")
+    small = cut(_short_pairs(members, sizes), f"{folder}/pairs")
+    # a text for each node that is compared
+    wanted = small.select(F.col("c").alias("x")).unionByName(small.select(F.col("y").alias("x"))).unionByName(members.where(F.col("size") > SMALL).select("x")).distinct()
     texts = sig.where("x is not null").groupBy("x").agg(F.min("k").alias("k")).join(wanted, "x")
     keyed = docs.withColumn("k", row_key()).select("k", "text")
     chosen = keyed.join(texts, "k").select("x", "text")
-    sets = cut(chosen.mapInArrow(_sets(k), "x long, tokens binary").dropDuplicates(["x"]), f"{folder}/sets")
+    sets = cut(chosen.mapInArrow(_sets(k), "x long, tokens binary"), f"{folder}/sets")
     release_shuffles(spark)
     found, step = [], 0
     while True:
-        small = members.where(F.col("size") <= SMALL)
-        met = small.groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("xs")).select("xs").distinct()
-        pairs = met.select(F.explode("xs").alias("c"), "xs").select("c", F.explode("xs").alias("y")).where("c < y")
+        pairs = small if step == 0 else _short_pairs(members, sizes)
         large = members.where(F.col("size") > SMALL)
         # of each list: the least of each of a few buckets, those not yet linked first
         bucket = F.pmod(F.xxhash64("x"), F.lit(CENTRES if step else 1))
         centres = large.groupBy("t", bucket.alias("bucket")).agg(F.min(F.struct("linked", "x")).alias("c")).select("t", F.col("c.x").alias("c"))
         starred = large.join(centres, "t")
         stars = starred.where("x <> c").select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("y")).distinct()
+        of = lambda name: sizes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"))
+        stars = stars.join(of("c"), "c").join(of("y"), "y").where("5 * n_c >= 3 * n_y AND 5 * n_y >= 3 * n_c").select("c", "y")  # else similarity is below 0.6
         todo = pairs.unionByName(stars).distinct()
         a, b = sets.select(F.col("x").alias("c"), F.col("tokens").alias("ct")), sets.select(F.col("x").alias("y"), F.col("tokens").alias("yt"))
-        size_ok = F.expr("5 * length(yt) >= 3 * length(ct) AND 5 * length(ct) >= 3 * length(yt)")  # else similarity is below 0.6
-        checked = todo.join(a, "c").join(b, "y").where(size_ok).select("c", "y", "ct", "yt")
-        near = cut(checked.mapInArrow(_search, "c long, y long, linked boolean"), f"{folder}/near-{step}")
+        checked = todo.join(a, "c").join(b, "y").select("c", "y", "ct", "yt")
+        near = cut(checked.mapInArrow(_search, "c long, y long, linked boolean").distinct(), f"{folder}/near-{step}")
+        release_shuffles(spark)
         found.append(near.where("linked").select(F.col("c").alias("a"), F.col("y").alias("b")))
         if large.isEmpty():
             break
         both = near.unionByName(near.select(F.col("y").alias("c"), F.col("c").alias("y"), "linked")).select("c", F.col("y").alias("x"), F.col("linked").alias("now"))
         seen = starred.join(both, ["c", "x"], "left").groupBy("t", "x").agg(
-            F.first("n").alias("n"), (F.max("linked") | F.coalesce(F.max("now"), F.lit(False))).alias("linked"), F.coalesce(F.max(~F.col("now")), F.lit(False)).alias("close"), F.max(F.col("x") == F.col("c")).alias("centre")
+            (F.max("linked") | F.coalesce(F.max("now"), F.lit(False))).alias("linked"), F.coalesce(F.max(~F.col("now")), F.lit(False)).alias("close"), F.max(F.col("x") == F.col("c")).alias("centre")
         )
         seen = cut(seen.where("not centre").drop("centre"), f"{folder}/seen-{step}")
         # linked members stay only where an unlinked one is close enough to a centre to link with them
         lists_now = seen.groupBy("t").agg(F.max(F.col("close") & ~F.col("linked")).alias("open"), F.count_if(~F.col("linked")).alias("alone"), F.count("*").alias("all"))
         lists_now = lists_now.select("t", "open", F.when(F.col("open"), F.col("all")).otherwise(F.col("alone")).alias("size")).where("size > 1 AND alone > 0")
         step += 1
-        members = cut(seen.join(lists_now, "t").where("open OR NOT linked").select("t", "x", "n", "size", "linked"), f"{folder}/members-{step}")
+        members = cut(seen.join(lists_now, "t").where("open OR NOT linked").select("t", "x", "size", "linked"), f"{folder}/members-{step}")
         if members.isEmpty():
             break
     links = found[0]
