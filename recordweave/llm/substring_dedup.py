@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, mix, ngrams, release_shuffles, row_key, shared_dir, signed, small_batches, table, text_bytes
+from .common import Words, blocks, cut, inside, mix, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, table, text_bytes
 
 WIDTH, SEED = 20, 8
 
@@ -78,7 +78,7 @@ def _anchors(width: int, seed: int):
     return run
 
 
-_PATH = "a long, d long, doc_id long, start int, k long, edges array<long>"
+_PATH = "a long, d long, id long, start int, k long, n int, edges array<long>"
 
 
 def _paths(width: int, seed: int):
@@ -104,10 +104,10 @@ def _paths(width: int, seed: int):
                 index = pa.array(doc + lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(signed(anchor[r])), pa.array(signed(d)), batch.column("doc_id").take(index), pa.array((start[r] - w.first[doc]).astype(np.int32)), batch.column("k").take(index),
+                        pa.array(signed(anchor[r])), pa.array(signed(d)), batch.column("id").take(index), pa.array((start[r] - w.first[doc]).astype(np.int32)), batch.column("k").take(index), pa.array(size.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(np.append(r, len(edge)), pa.int32()), pa.array(signed(edge))),
                     ],
-                    names=["a", "d", "doc_id", "start", "k", "edges"],
+                    names=["a", "d", "id", "start", "k", "n", "edges"],
                 )
 
     return run
@@ -163,25 +163,35 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     places = anchors.select("k", F.explode(F.arrays_zip("anchors", "places")).alias("z")).select("k", F.col("z.anchors").alias("a"), F.col("z.places").alias("p"))
     wanted = places.join(again, "a", "left_semi").groupBy("k").agg(F.collect_set("p").alias("places"))
     wanted = cut(wanted, f"{folder}/places")
+    remove_dir(spark, f"{folder}/anchors")
     release_shuffles(spark)
-    paths = cut(docs.join(wanted, "k").select("doc_id", "k", "text", "places").mapInArrow(_paths(width, seed), _PATH), f"{folder}/paths")
+    paths = cut(docs.join(wanted, "k").select("id", "k", "text", "places").mapInArrow(_paths(width, seed), _PATH), f"{folder}/paths")
+    remove_dir(spark, f"{folder}/places")
+    release_shuffles(spark)
+    here = F.struct("id", "start")
+    first = cut(paths.groupBy("a", "d").agg(F.min(here).alias("first"), F.count("*").alias("n_same")), f"{folder}/first")
     release_shuffles(spark)
-    here = F.struct("doc_id", "start", "k")
-    first = paths.groupBy("a", "d").agg(F.min(here).alias("first"), F.max(F.struct("doc_id", "start")).alias("last"))
     variants = first.groupBy("a").agg(F.count("*").alias("variants"))
-    linear = first.join(variants.where("variants = 1"), "a").where("struct(first.doc_id, first.start) <> last").select("a", "d", "first")
-    whole = paths.join(linear, ["a", "d"]).select("k", "doc_id", "start", F.size("edges").alias("n"), "first")
-    branching = paths.join(variants.where("variants > 1").select("a"), "a", "left_semi").select("k", "doc_id", "start", F.posexplode("edges").alias("i", "edge"))
-    branching = branching.select("k", "doc_id", (F.col("start") + F.col("i")).cast("int").alias("start"), "edge")
-    source = branching.groupBy("edge").agg(F.min(here).alias("first"), F.max(F.struct("doc_id", "start")).alias("last")).where("struct(first.doc_id, first.start) <> last").drop("last")
-    single = branching.join(source, "edge").select("k", "doc_id", "start", F.lit(1).alias("n"), "first")
-    later = whole.unionByName(single).where("NOT (doc_id <=> first.doc_id AND start = first.start)")
-    later = later.select("k", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"), F.col("first.k").alias("source"), F.col("first.start").alias("at"), (F.col("first.start") - F.col("start")).alias("shift")).distinct()
+    linear = first.join(variants.where("variants = 1"), "a").where("n_same > 1").select("a", "d", "first")
+    whole = cut(paths.select("a", "d", "id", "start", "k", "n").join(linear, ["a", "d"]).select("k", "id", "start", "n", "first"), f"{folder}/whole")
+    release_shuffles(spark)
+    branching = cut(paths.select("a", "id", "start", "k", "edges").join(variants.where("variants > 1").select("a"), "a", "left_semi").drop("a"), f"{folder}/branching")
+    remove_dir(spark, f"{folder}/paths")
+    release_shuffles(spark)
+    edges = branching.select("k", "id", "start", F.posexplode("edges").alias("i", "edge")).select("edge", "k", "id", (F.col("start") + F.col("i")).cast("int").alias("start"))
+    source = edges.groupBy("edge").agg(F.min(here).alias("first"), F.count("*").alias("n_same")).where("n_same > 1").drop("n_same")
+    single = edges.join(source, "edge").select("k", "id", "start", F.lit(1).alias("n"), "first")
+    later = whole.unionByName(single).where("NOT (id = first.id AND start = first.start)")
+    later = later.select("k", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"), F.col("first.id").alias("source"), F.col("first.start").alias("at"), (F.col("first.start") - F.col("start")).alias("shift"))
     # neighbouring repeats of one source and shift are one span
     order = Window.partitionBy("k").orderBy("s", "e")
     fresh = F.coalesce((F.lag("e").over(order) < F.col("s")) | (F.lag("source").over(order) != F.col("source")) | (F.lag("shift").over(order) != F.col("shift")), F.lit(True))
     numbered = later.withColumn("island", F.sum(fresh.cast("int")).over(order))
-    return cut(numbered.groupBy("k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("source").alias("source"), F.min("at").alias("at")).drop("island"), f"{folder}/spans")
+    spans = cut(numbered.groupBy("k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("source").alias("source"), F.min("at").alias("at")).drop("island"), f"{folder}/spans")
+    for part in ("first", "whole", "branching"):
+        remove_dir(spark, f"{folder}/{part}")
+    release_shuffles(spark)
+    return spans
 
 
 def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
@@ -192,15 +202,19 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: boo
     small_batches(spark)
     folder = shared_dir(spark, "substring-dedup")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("k", row_key())
+    docs = docs.withColumn("id", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))  # coordinates are (id, start)
     spans, attempt = _spans(docs, folder, width, seed), 0
     while True:
         mine = spans.groupBy("k").agg(F.collect_list(F.struct("s", "e", "source", "at")).alias("spans"))
         asked = spans.select("source", "at", (F.col("e") - F.col("s") + width - 1).alias("n")).distinct()
-        asked = asked.groupBy(F.col("source").alias("k")).agg(F.collect_list(F.struct("source", "at", "n")).alias("asked"))
-        both = mine.join(asked, "k", "full")
+        asked = asked.groupBy(F.col("source").alias("id")).agg(F.collect_list(F.struct("source", "at", "n")).alias("asked"))
+        ids = docs.select("id", "k").join(asked, "id").select("k", "asked").dropDuplicates(["k"])
+        both = mine.join(ids, "k", "full")
         out = cut(docs.join(both, "k", "left").select("k", "doc_id", "text", "spans", "asked").mapInArrow(_remove(width, with_text), _OUT), f"{folder}/out-{attempt}")
         key = ["source", "at", "n"]
-        wrong = out.where("kind = 'target'").select(*key, "digest").distinct().join(out.where("kind = 'source'").select(*key, F.col("digest").alias("there")).distinct(), key).where("digest <> there").select(*key).distinct()
+        # a span counts if a document of its source's id has the same words there
+        seen = out.where("kind = 'source'").select(*key, "digest").distinct()
+        wrong = out.where("kind = 'target'").select(*key, "digest").distinct().join(seen, [*key, "digest"], "left_anti").select(*key).distinct()
         if wrong.isEmpty():
             break
         # words differ although hashes agree: such spans are no repeats
