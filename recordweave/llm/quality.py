@@ -156,7 +156,9 @@ def judge(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    return judge(rows, references(docs)).where("kept").select("row.*")
+    # a predicate that Spark may not move: pushed below, it would repeat every expression it is made of
+    stays = F.when(F.col("kept"), F.monotonically_increasing_id() >= 0).otherwise(False)
+    return judge(rows, references(docs)).where(stays).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
