@@ -70,16 +70,16 @@ def measure(docs: DataFrame) -> DataFrame:
         (F.char_length("rest") - F.char_length(F.regexp_replace("rest", r"\p{L}", ""))).cast("long").alias("letter"),
         (F.char_length("rest") - F.char_length(F.regexp_replace("rest", r"[0-9]", ""))).cast("long").alias("digit"),
         (F.char_length("rest") - F.char_length(F.regexp_replace("rest", r"[.,;:!?'\"()-]", ""))).cast("long").alias("mark"),
-        F.transform("words", lambda w: F.xxhash64(w)).alias("wh"),
     )
-    w8 = "CASE WHEN n_words < 8 THEN array() ELSE transform(sequence(1, CAST(n_words AS int) - 7), i -> xxhash64(slice(wh, i, 8))) END"
+    # no lambda names a column: Spark may put a column's expression in its place, to be computed for each element
+    w8 = _let("transform(words, w -> xxhash64(w))", "wh", "CASE WHEN size(wh) < 8 THEN array() ELSE transform(sequence(1, size(wh) - 7), i -> xxhash64(slice(wh, i, 8))) END")
     return (
         counted.withColumn("w8", F.expr(w8))
         .withColumn("n_repeat_words", F.expr(_REPEATED))
         .withColumn("symbol", F.col("n_symbols"))
         .withColumn("space", F.col("n_chars") - F.col("word_chars"))
         .withColumn("other", F.greatest(F.lit(0), F.col("n_chars") - sum((F.col(c) for c in _CLASSES[:-1]), F.lit(0))))
-        .drop("w8", "wh")
+        .drop("w8")
     )
 
 
@@ -123,9 +123,10 @@ def distances(measured: DataFrame, refs: list[dict]) -> DataFrame:
     vocabulary = sorted({w for r in refs for w in r["words"]})
     # runs of the sorted common words are their counts
     common = f"sort_array(filter(words, w -> w IN ({', '.join(map(_text, vocabulary))})))"
-    runs = _let(common, "s", _let("filter(sequence(0, size(s)), i -> i = size(s) OR i = 0 OR get(s, i) <> get(s, i - 1))", "b", "transform(slice(b, 1, size(b) - 1), (x, j) -> struct(get(s, x) AS w, (get(b, j + 1) - x) / n_words AS p))"))
+    runs = _let(common, "s", _let("filter(sequence(0, size(s)), i -> i = size(s) OR i = 0 OR get(s, i) <> get(s, i - 1))", "b", "transform(slice(b, 1, size(b) - 1), (x, j) -> struct(get(s, x) AS w, (get(b, j + 1) - x) / nw AS p))"))
+    runs = _let("n_words", "nw", runs)
     rows = measured.withColumn("runs", F.expr(f"CASE WHEN n_words < {MIN_WORDS} THEN NULL ELSE {runs} END")).withColumn(
-        "classes", F.expr(f"CASE WHEN n_words < {MIN_WORDS} THEN NULL ELSE transform(array({', '.join(_CLASSES)}), x -> x / n_chars) END")
+        "classes", F.expr(f"CASE WHEN n_words < {MIN_WORDS} THEN NULL ELSE array({', '.join(f'{c} / n_chars' for c in _CLASSES)}) END")
     )
     by_char, by_word = [], []
     for r in refs:
