@@ -67,11 +67,7 @@ class Encoder:
             split.append(None if t and self.strange(t) else self.split(t or ""))
         if len(self.cache) > self.limit:
             self.cache.clear()
-        words = set()
-        for s in split:
-            if s:
-                words.update(s)
-        missing = [w for w in words if w not in self.cache]
+        missing = list(set().union(*(s for s in split if s)).difference(self.cache))
         if missing:
             self._learn(missing)
         get, out = self.cache.__getitem__, []

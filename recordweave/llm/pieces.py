@@ -174,7 +174,7 @@ class Pieces:
                 occ = np.flatnonzero((u >= 0) & (u < len(units)) & (row[of] >= 0))
                 at, u, step = size[occ].copy(), u[occ], 0
                 while len(occ):
-                    r = (mix(noise[occ] + np.uint64(step) * _P) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                    r = (mix(noise[occ] + np.array([step], np.uint64) * _P) >> np.uint64(11)).astype(np.float64) * 2.0**-53
                     k = (cum[:, u, at] <= r[None, :]).sum(0)
                     at = at - k - 1
                     got = ids[k, u, at]

@@ -139,7 +139,7 @@ def distances(measured: DataFrame, refs: list[dict]) -> DataFrame:
         rest = f"greatest(0.0D, 1 - aggregate(v, {zero}, (a, x) -> a + x.p))"
         body = f"aggregate(v, {zero}, (a, x) -> a + {_term('x.p', 'x.q')}) + 0.5 * greatest(0.0D, {total!r}D - aggregate(v, {zero}, (a, x) -> a + x.q)) + " + _let(rest, "pr", _term("pr", f"{max(0.0, 1 - total)!r}D"))
         by_word.append(_let(joined, "v", body))
-    least = lambda parts: F.sqrt(F.greatest(F.lit(0.0), F.expr(f"array_min(array({', '.join(parts)}))")))
+    least = lambda parts: F.expr(_let(f"array_min(array({', '.join(parts)}))", "d", "CASE WHEN d > 0 THEN sqrt(d) WHEN d IS NOT NULL THEN 0.0D END"))
     return rows.withColumn("char_distance", least(by_char)).withColumn("word_distance", least(by_word)).drop("runs", "classes")
 
 
