@@ -15,7 +15,7 @@ from . import derived
 
 AS_OF, STALE_DAYS = "2024-06-30", 365
 _GROUPS = (TagGroup("metal", ("small brushed brass", "promo brushed brass", "brand#11", "brand#12"), "at-most-one"), TagGroup("brand", ("brand#11", "brand#12", "brand#13"), "exactly-one", ("standard",)))
-_TERMS = ["goldenrod", "blanched", "almonds", "part"]
+_TERMS = ["rings", "bolt", "gears", "widget"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -144,8 +144,8 @@ def uniform_status(spark: SparkSession, d: str) -> DataFrame:
     return checks.uniform_status(derived.docs(spark, d).withColumn("scheme", F.concat_ws("/", "scheme", "status_word")))
 
 
-@_query("narrow_titles", """SELECT code, title, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(title, '(?i)\\b(goldenrod|blanched|almond|part)s?\\b', 1), lambda x: lower(x)))), ',') AS terms
-FROM docs WHERE regexp_matches(title, '(?i)\\b(goldenrod|blanched|almond|part)s?\\b')""")
+@_query("narrow_titles", """SELECT code, title, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(title, '(?i)\\b(widget|bolt|gear|ring)s?\\b', 1), lambda x: lower(x)))), ',') AS terms
+FROM docs WHERE regexp_matches(title, '(?i)\\b(widget|bolt|gear|ring)s?\\b')""")
 def narrow_titles(spark: SparkSession, d: str) -> DataFrame:
     return checks.narrow_titles(derived.docs(spark, d), _TERMS).withColumn("terms", F.array_join("terms", ","))
 
