@@ -9,7 +9,8 @@ Candidates of a token are not all pairs: its list elects centres, every member i
 searched against the centre, and a second look is needed only where the metric
 bound leaves room - Jaccard distance is a metric, so a member linked to a centre
 (distance <= 0.2) cannot link with one that is further than 0.4 from it. Lists of
-at most SMALL members meet in full, a bounded number of partners each.
+at most SMALL members (SMALL_LATER once a centre was taken out) meet in full, a bounded
+number of partners each.
 
 The search is the T-occurrence problem: of a centre's tokens, the inverted lists
 over its candidates are split; the short ones are merged with a heap, survivors of
@@ -41,8 +42,10 @@ FREQUENT = 1 << 18
 TASK_COUNT, TOTAL_COUNT = 3, 12
 #: Token lists of at most so many members meet in full.
 SMALL = 16
-#: Centres of a longer list in each round.
-CENTRES = 4
+#: The same for what is left of longer lists after their first centre.
+SMALL_LATER = 64
+#: Centres of a longer list in each round after the first.
+CENTRES = 16
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
@@ -196,15 +199,16 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=["c", "y", "linked"])
 
 
-def _short_pairs(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (c, y) that meet in lists of at most SMALL members and may link.
+def _short_pairs(members: DataFrame, sizes: DataFrame, small: int) -> DataFrame:
+    """Pairs (c, y) that meet in lists of at most ``small`` members and may link.
 
     Of two prefixes in one order, the one that ends first holds every shared token up to
     there in common with the other; so a pair that links shares at least p - (n - T) of
     its p prefix tokens, T being the overlap it needs. Tokens with long lists are not
-    counted here, so as many as either node has of them are allowed for.
+    counted here, so as many as either node has of them are allowed for. (A pair that
+    met in a short list of an earlier round was settled there.)
     """
-    met = members.where(F.col("size") <= SMALL).groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("xs")).groupBy("xs").agg(F.count("*").alias("times"))
+    met = members.where(F.col("size") <= small).groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("xs")).groupBy("xs").agg(F.count("*").alias("times"))
     pairs = met.select("times", F.explode("xs").alias("c"), "xs").select("times", "c", F.explode("xs").alias("y")).where("c < y").groupBy("c", "y").agg(F.sum("times").alias("s"))
     of = lambda name: sizes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("long").alias(f"long_{name}"))
     both = pairs.join(of("c"), "c").join(of("y"), "y").withColumn("need", F.expr("(4 * (n_c + n_y) + 8) div 9"))
@@ -226,7 +230,7 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
     # of each node: its tokens, and its tokens with long lists, which do not meet in full
     sizes = nodes.select("x", "n").join(members.groupBy("x").agg(F.count_if(F.col("size") > SMALL).alias("long")), "x")
     sizes = cut(sizes, f"{folder}/sizes")
-    small = cut(_short_pairs(members, sizes), f"{folder}/pairs")
+    small = cut(_short_pairs(members, sizes, SMALL), f"{folder}/pairs")
     # a text for each node that is compared
     wanted = small.select(F.col("c").alias("x")).unionByName(small.select(F.col("y").alias("x"))).unionByName(members.where(F.col("size") > SMALL).select("x")).distinct()
     texts = sig.where("x is not null").groupBy("x").agg(F.min("k").alias("k")).join(wanted, "x")
@@ -236,8 +240,9 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
     release_shuffles(spark)
     found, step = [], 0
     while True:
-        pairs = small if step == 0 else _short_pairs(members, sizes)
-        large = members.where(F.col("size") > SMALL)
+        most = SMALL_LATER if step else SMALL
+        pairs = _short_pairs(members, sizes, most) if step else small
+        large = members.where(F.col("size") > most)
         # of each list: the least of each of a few buckets, those not yet linked first
         bucket = F.pmod(F.xxhash64("x"), F.lit(CENTRES if step else 1))
         centres = large.groupBy("t", bucket.alias("bucket")).agg(F.min(F.struct("linked", "x")).alias("c")).select("t", F.col("c.x").alias("c"))
@@ -265,6 +270,9 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
         members = cut(seen.join(lists_now, "t").where("open OR NOT linked").select("t", "x", "size", "linked"), f"{folder}/members-{step}")
         if members.isEmpty():
             break
+        # from here on only what is left is fetched
+        sets = cut(sets.join(members.select("x").distinct(), "x", "left_semi"), f"{folder}/sets-{step}")
+        release_shuffles(spark)
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
