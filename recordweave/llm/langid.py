@@ -85,8 +85,13 @@ def _count(key: tuple, rows: pa.Table) -> pa.Table:
 
 def fit(training: DataFrame, sample: int = SAMPLE) -> Model:
     """Trigram tables from at most ``sample`` rows of each language of ``training(doc_id, text, lang)``."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text")
-    rows = training.where("lang IS NOT NULL AND text IS NOT NULL").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
+    known = training.where("lang IS NOT NULL AND text IS NOT NULL")
+    # about twice the sample by a threshold on the hash, so that no task sees more of a language, then exactly the least
+    share = known.groupBy("lang").agg((F.least(F.lit(1.0), 2.0 * sample / F.count("*")) * (1 << 30)).cast("long").alias("below"))
+    near = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    few = known.join(F.broadcast(share), "lang").where(near <= F.col("below"))
+    order = Window.partitionBy("lang").orderBy(near, "doc_id", "text")
+    rows = few.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= sample)
     found = rows.select("lang", "text").groupBy("lang").applyInArrow(_count, "lang string, counts binary, scripts binary").toPandas().sort_values("lang")
     scores, masks = [], []
     for c, s in zip(found["counts"], found["scripts"], strict=True):

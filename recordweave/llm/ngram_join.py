@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, ngrams, release_shuffles, row_key, shared_dir, signed, small_batches, table, text_bytes
+from .common import Words, blocks, cut, inside, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, table, text_bytes
 from .components import components
 
 K = 5
@@ -273,6 +273,8 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
         # from here on only what is left is fetched
         sets = cut(sets.join(members.select("x").distinct(), "x", "left_semi"), f"{folder}/sets-{step}")
         release_shuffles(spark)
+    for part in ("nodes", "sizes", "pairs", "sets", *(f"{name}-{i}" for i in range(step + 1) for name in ("members", "seen", "sets"))):
+        remove_dir(spark, f"{folder}/{part}")
     links = found[0]
     for f in found[1:]:
         links = links.unionByName(f)
