@@ -161,9 +161,11 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     anchors = cut(docs.select("k", "text").mapInArrow(_anchors(width, seed), "k long, anchors array<long>, places array<int>"), f"{folder}/anchors")
     again = anchors.select(F.explode("anchors").alias("a")).groupBy("a").count().where("count > 1").select("a")
     places = anchors.select("k", F.explode(F.arrays_zip("anchors", "places")).alias("z")).select("k", F.col("z.anchors").alias("a"), F.col("z.places").alias("p"))
+    again = cut(again, f"{folder}/again")  # a plain table, so that Spark may split a hot anchor in the join
     wanted = places.join(again, "a", "left_semi").groupBy("k").agg(F.collect_set("p").alias("places"))
     wanted = cut(wanted, f"{folder}/places")
     remove_dir(spark, f"{folder}/anchors")
+    remove_dir(spark, f"{folder}/again")
     release_shuffles(spark)
     paths = cut(docs.join(wanted, "k").select("id", "k", "text", "places").mapInArrow(_paths(width, seed), _PATH), f"{folder}/paths")
     remove_dir(spark, f"{folder}/places")
