@@ -8,7 +8,8 @@ tokens give the candidates and all other lists are only probed.
 Candidates of a token are not all pairs: its list elects centres, every member is
 searched against the centre, and a second look is needed only where the metric
 bound leaves room - Jaccard distance is a metric, so a member linked to a centre
-(distance <= 0.2) cannot link with one that is further than 0.4 from it. Lists of
+(distance <= 0.2) cannot link with one that is further than 0.4 from it - and only
+between members of different components of the links found so far. Lists of
 at most SMALL members (SMALL_LATER once a centre was taken out) meet in full, a bounded
 number of partners each.
 
@@ -44,6 +45,8 @@ TASK_COUNT, TOTAL_COUNT = 3, 12
 SMALL = 16
 #: The same for what is left of longer lists after their first centre.
 SMALL_LATER = 64
+#: Ids that may be broadcast, after they were counted (eight bytes each); more are shuffled.
+BROADCAST_IDS = 200_000
 #: Centres of a longer list in each round after the first.
 CENTRES = 16
 
@@ -216,20 +219,32 @@ def _short_pairs(members: DataFrame, sizes: DataFrame, small: int) -> DataFrame:
     return both.where("need <= n_c AND need <= n_y").where(F.col("s") + F.least("long_c", "long_y") >= least).select("c", "y")
 
 
-def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame | None:
-    """Links (a, b) between nodes that give the components of all links."""
+def _all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> tuple[DataFrame | None, DataFrame]:
+    """Links (a, b) between nodes that give the components of all links, and ``sig`` without its tokens."""
     spark = docs.sparkSession
     nodes = sig.where("x is not null").groupBy("x").agg(F.min(F.struct("n", "prefix")).alias("s")).select("x", "s.n", "s.prefix")
     nodes = cut(nodes, f"{folder}/nodes")
+    slim = cut(sig.drop("prefix"), f"{folder}/documents")
+    remove_dir(spark, f"{folder}/signatures")
+    sig = slim
     lists = nodes.select("x", F.explode("prefix").alias("t"))
     shared = lists.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(lists.join(shared, "t").select("t", "x", "size", F.lit(False).alias("linked")), f"{folder}/members-0")
+    members = cut(lists.join(shared, "t").select("t", "x", "size"), f"{folder}/members-0")
     release_shuffles(spark)
     if members.isEmpty():
-        return None
+        return None, sig
     # of each node: its tokens, and its tokens with long lists, which do not meet in full
     sizes = nodes.select("x", "n").join(members.groupBy("x").agg(F.count_if(F.col("size") > SMALL).alias("long")), "x")
     sizes = cut(sizes, f"{folder}/sizes")
+    remove_dir(spark, f"{folder}/nodes")
+    release_shuffles(spark)
     small = cut(_short_pairs(members, sizes, SMALL), f"{folder}/pairs")
     # a text for each node that is compared
     wanted = small.select(F.col("c").alias("x")).unionByName(small.select(F.col("y").alias("x"))).unionByName(members.where(F.col("size") > SMALL).select("x")).distinct()
@@ -243,9 +258,9 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
         most = SMALL_LATER if step else SMALL
         pairs = _short_pairs(members, sizes, most) if step else small
         large = members.where(F.col("size") > most)
-        # of each list: the least of each of a few buckets, those not yet linked first
+        # of each list: the least of each of a few buckets, in an order of the list's own
         bucket = F.pmod(F.xxhash64("x"), F.lit(CENTRES if step else 1))
-        centres = large.groupBy("t", bucket.alias("bucket")).agg(F.min(F.struct("linked", "x")).alias("c")).select("t", F.col("c.x").alias("c"))
+        centres = large.groupBy("t", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("t", "x").alias("r"), "x")).alias("c")).select("t", F.col("c.x").alias("c"))
         starred = large.join(centres, "t")
         stars = starred.where("x <> c").select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("y")).distinct()
         of = lambda name: sizes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"))
@@ -259,26 +274,30 @@ def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> DataFrame |
         if large.isEmpty():
             break
         both = near.unionByName(near.select(F.col("y").alias("c"), F.col("c").alias("y"), "linked")).select("c", F.col("y").alias("x"), F.col("linked").alias("now"))
-        seen = starred.join(both, ["c", "x"], "left").groupBy("t", "x").agg(
-            (F.max("linked") | F.coalesce(F.max("now"), F.lit(False))).alias("linked"), F.coalesce(F.max(~F.col("now")), F.lit(False)).alias("close"), F.max(F.col("x") == F.col("c")).alias("centre")
-        )
-        seen = cut(seen.where("not centre").drop("centre"), f"{folder}/seen-{step}")
-        # linked members stay only where an unlinked one is close enough to a centre to link with them
-        lists_now = seen.groupBy("t").agg(F.max(F.col("close") & ~F.col("linked")).alias("open"), F.count_if(~F.col("linked")).alias("alone"), F.count("*").alias("all"))
-        lists_now = lists_now.select("t", "open", F.when(F.col("open"), F.col("all")).otherwise(F.col("alone")).alias("size")).where("size > 1 AND alone > 0")
+        label = components(_all(found))
+        of = lambda key: label.select(F.col("node").alias(key), F.col("label").alias(f"{key}_label"))
+        # now: true if linked, false if close, null if further than 0.4 from the centre
+        seen = starred.join(both, ["c", "x"], "left").join(of("x"), "x", "left").join(of("c"), "c", "left")
+        seen = cut(seen.select("t", "c", "x", "now", F.coalesce("x_label", "x").alias("label"), F.coalesce("c_label", "c").alias("c_label")), f"{folder}/seen-{step}")
+        # a centre settles those it links unless one of another component is close to it
+        open_ = seen.groupBy("t", "c").agg(F.coalesce(F.max((~F.col("now")) & (F.col("label") != F.col("c_label"))), F.lit(False)).alias("open"))
+        rest = seen.join(open_, ["t", "c"]).groupBy("t", "x").agg(
+            F.max(F.col("x") == F.col("c")).alias("centre"), F.coalesce(F.max(F.col("now") & ~F.col("open")), F.lit(False)).alias("settled"), F.first("label").alias("label")
+        ).where("NOT centre AND NOT settled")
+        lists_now = rest.groupBy("t").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "size")
         step += 1
-        members = cut(seen.join(lists_now, "t").where("open OR NOT linked").select("t", "x", "size", "linked"), f"{folder}/members-{step}")
+        members = cut(rest.join(lists_now, "t").select("t", "x", "size"), f"{folder}/members-{step}")
         if members.isEmpty():
             break
         # from here on only what is left is fetched
-        sets = cut(sets.join(members.select("x").distinct(), "x", "left_semi"), f"{folder}/sets-{step}")
+        left = members.select("x").distinct()
+        left = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
+        sets = cut(sets.join(left, "x", "left_semi"), f"{folder}/sets-{step}")
+        remove_dir(spark, f"{folder}/sets" if step == 1 else f"{folder}/sets-{step - 1}")
         release_shuffles(spark)
     for part in ("nodes", "sizes", "pairs", "sets", *(f"{name}-{i}" for i in range(step + 1) for name in ("members", "seen", "sets"))):
         remove_dir(spark, f"{folder}/{part}")
-    links = found[0]
-    for f in found[1:]:
-        links = links.unionByName(f)
-    return links
+    return _all(found), sig
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
@@ -293,7 +312,7 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     frequent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
     sig = docs.withColumn("k", row_key()).mapInArrow(_signatures(k, frequent), "doc_id long, n long, x long, prefix array<long>, k long")
     sig = cut(sig, f"{folder}/signatures")
-    links = _links(docs, sig, folder, k)
+    links, sig = _links(docs, sig, folder, k)
     classes = sig.where("x is not null").groupBy("x").agg(F.min("doc_id").alias("low"))
     if links is None or links.isEmpty():
         named = classes.select("x", F.col("x").alias("component"), F.col("low").alias("component_id"))

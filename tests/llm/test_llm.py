@@ -258,8 +258,8 @@ def family(n, seed):
 @pytest.mark.parametrize("small", [16, 3])
 def test_near_copies(spark, docs, monkeypatch, small):
     monkeypatch.setattr(ngram_join, "SMALL", small)  # 3: almost every list elects centres, round after round
-    monkeypatch.setattr(ngram_join, "SMALL_LATER", 4 * small if small > 3 else 3)
-    monkeypatch.setattr(ngram_join, "CENTRES", 16 if small > 3 else 2)
+    monkeypatch.setattr(ngram_join, "SMALL_LATER", 4 * small if small > 3 else 6)
+    monkeypatch.setattr(ngram_join, "CENTRES", 16 if small > 3 else 4)
     got = ngram_join.join(docs.repartition(3)).collect()
     assert len(got) == len(corpus()) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(corpus())
     rows = family(40, 9)
