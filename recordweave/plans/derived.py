@@ -74,13 +74,13 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Markdown around each document's text: bare codes, directives, URLs, links and fences."""
+    """Each document's whole, unchanged text after lines of markdown: bare codes, a directive, URLs and links."""
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id") % 600
     lines = [
         F.concat(F.lit("# note "), F.col("doc_id").cast("string")), F.concat(F.lit("per ADR-"), F.format_string("%03d", n), F.lit(" and RFC "), F.format_string("%d", n % 50), F.lit(" it works")),
         F.concat(F.lit("<!-- inactive-ok: ADR-"), F.format_string("%03d", n), F.lit(" — kept -->")), F.concat(F.lit("see https://example.test/SPEC-"), F.format_string("%03d", n), F.lit(" for SPEC-"), F.format_string("%03d", n + 1)),
         F.concat(F.lit("[doc](../part/"), (n % 300).cast("string"), F.lit(".md#top) and [other](./a/../p"), (n % 9).cast("string"), F.lit(".md) and [web](http://x.test)")),
-        F.regexp_replace(F.substring(F.coalesce("text", F.lit("")), 1, 200), "[^A-Za-z \n]", ""),
+        F.coalesce("text", F.lit("")),
     ]
     return d.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.array_join(F.array(*lines), "\n").alias("text"))
