@@ -3,7 +3,8 @@
 The library spends most of its time splitting text and keeping offsets, and it
 splits before merging, so a pre-token's ids never depend on its neighbours. A
 worker therefore splits texts itself, sends each *distinct* pre-token through
-the library once, and keeps its ids in a bounded table.
+the library once, and keeps its ids in a bounded table. A text that holds an added
+token's string, which the library takes out before it splits, goes through it whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tok, self.words = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = self.words.encode_special_tokens = True
+        self.added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
         #: The same model and bytes, for texts whose only borders are newlines.
         self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.limit, self.cache = cache_entries, {}
@@ -64,7 +65,7 @@ class Encoder:
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         split = []
         for t in texts:
-            split.append(None if t and self.strange(t) else self.split(t or ""))
+            split.append(None if t and (self.strange(t) or any(a in t for a in self.added)) else self.split(t or ""))
         if len(self.cache) > self.limit:
             self.cache.clear()
         missing = list(set().union(*(s for s in split if s)).difference(self.cache))
