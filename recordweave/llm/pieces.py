@@ -9,8 +9,9 @@ key, the unit's place and the step, never on how rows are batched.
 A piece's log probability falls with its rank in the vocabulary (``alpha`` times the
 logarithm of the rank): the vocabulary file orders pieces by merges and holds no
 probabilities. A character without a piece falls back to its UTF-8 bytes, and so
-does the vocabulary's own mark for a space, so every text decodes to itself. Units
-longer than MAX_UNIT characters are cut there, which bounds a lattice, not a text.
+does the vocabulary's own mark for a space, so every text decodes to itself. A unit has
+one lattice whatever its length; of units longer than the last of _LENGTHS only the
+forward sums are kept, and pieces are looked up again block by block.
 
 Null text is empty (no ids). A null key counts as 0. Equal rows get equal ids. An
 empty table gives no rows; only doc_id and text are read.
@@ -28,12 +29,14 @@ from pyspark.sql import functions as F
 
 from .common import mix, small_batches, table
 
-SPACE, MAX_UNIT = 0x2581, 48
+SPACE = 0x2581
 ALPHA, BYTE_COST = 1.0, 12.0
 _G, _P = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 _SLOT_BITS = 17
 #: Units of one length class are filtered together.
-_LENGTHS = (4, 8, 12, 16, 24, MAX_UNIT)
+_LENGTHS = (4, 8, 12, 16, 24, 48, 96, 192, 384, 768, 1536, 3072)
+#: Characters of units that are filtered together, and of a block of a longer unit.
+_CELLS, _BLOCK = 384_000, 4096
 
 
 def default_path() -> str:
@@ -98,9 +101,8 @@ class Pieces:
             open_, at, end = open_[go], at[go], end[go]
         return found.reshape(h.shape)
 
-    def _filter(self, codes: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of units (rows of ``codes``): ids[l, u, i] of the piece of l + 1 characters from i
-        (-1: none, -2: bytes), and cum[l, u, j]: share of segmentations up to j whose last piece has at most l + 1."""
+    def _scores(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of units (rows of ``codes``): ids[l, u, i] of the piece of l + 1 characters from i (-1: none, -2: bytes), and its score."""
         n, width = codes.shape
         deep = min(self.longest, width)
         c = mix(codes.astype(np.uint64) + np.uint64(1))
@@ -118,6 +120,12 @@ class Pieces:
         ids[0][none] = -2
         size = 1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF)
         score[0] = np.where(none, -BYTE_COST * size, score[0])
+        return ids, score
+
+    def _filter(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of units: the ids of _scores, and cum[l, u, j]: share of segmentations up to j whose last piece has at most l + 1."""
+        ids, score = self._scores(codes)
+        deep, n, width = ids.shape
         alpha = np.full((n, width + 1), -np.inf)
         alpha[:, 0] = 0
         cum = np.zeros((deep, n, width + 1), np.float32)
@@ -131,6 +139,45 @@ class Pieces:
             cum[d:, :, j] = 1
         return ids, cum
 
+    def _long(self, codes: np.ndarray, noise: np.ndarray) -> list[tuple[list[int], list[int]]]:
+        """Of each occurrence (by its noise) of one unit of any length: where its pieces start, last piece first, and their ids."""
+        n, deep = len(codes), min(self.longest, len(codes))
+        alpha = np.full(n + 1, -np.inf)
+        alpha[0] = 0
+        back_k = np.arange(deep)
+        borders = list(range(0, n, _BLOCK))
+
+        def block(lo: int) -> tuple[int, int, np.ndarray, np.ndarray]:
+            """Pieces that end in a block may start up to the longest piece before it."""
+            a, hi = max(0, lo - deep + 1), min(lo + _BLOCK, n)
+            ids, score = self._scores(codes[None, a:hi])
+            return a, hi, ids[:, 0], score[:, 0]
+
+        def weights(j: int, a: int, score: np.ndarray) -> tuple[float, np.ndarray]:
+            k = back_k[: min(len(score), j)]
+            back = alpha[j - k - 1] + score[k, j - k - 1 - a]
+            top = back.max()
+            return top, np.cumsum(np.exp(back - top))
+
+        for lo in borders:
+            a, hi, _, score = block(lo)
+            for j in range(lo + 1, hi + 1):
+                top, part = weights(j, a, score)
+                alpha[j] = top + np.log(part[-1])
+        out: list[tuple[list[int], list[int]]] = [([], []) for _ in noise]
+        at = [n] * len(noise)
+        for lo in reversed(borders):
+            a, _, ids, score = block(lo)
+            for i, (places, got) in enumerate(out):
+                while at[i] > lo:
+                    r = (mix(noise[i : i + 1] + np.array([len(got)], np.uint64) * _P) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                    _, part = weights(at[i], a, score)
+                    k = int(((part / part[-1]).astype(np.float32) <= r).sum())
+                    at[i] -= k + 1
+                    places.append(at[i])
+                    got.append(int(ids[k, at[i] - a]))
+        return out
+
     def encode_many(self, texts: list[str | None], keys: np.ndarray, seed: int = 0) -> list[np.ndarray]:
         """Sampled ids of each text; ``keys`` are the rows' integer keys."""
         lengths = np.array([len(t or "") for t in texts], np.int64)
@@ -142,16 +189,12 @@ class Pieces:
         begin[first[:-1][lengths > 0]] = True
         starts = np.flatnonzero(begin)
         size = np.diff(np.append(starts, len(code)))
-        if size.max() > MAX_UNIT:
-            extra = [np.arange(s, s + n, MAX_UNIT) for s, n in zip(starts[size > MAX_UNIT], size[size > MAX_UNIT], strict=True)]
-            starts = np.unique(np.concatenate([starts, *extra]))
-            size = np.diff(np.append(starts, len(code)))
         doc = np.searchsorted(first, starts, "right") - 1
         nth = starts - first[doc]
         literal = np.where(code == SPACE, 0x110000, code)  # the mark itself has no piece
         marked = np.where(code == 32, SPACE, literal)
         # equal units by hash
-        power = np.cumprod(np.full(MAX_UNIT, _P))
+        power = np.cumprod(np.full(int(size.max()), _P))
         within = np.arange(len(code)) - np.repeat(starts, size)
         h = mix(np.add.reduceat(mix(marked.astype(np.uint64) + np.uint64(3)) * power[within], starts) + size.astype(np.uint64))
         _, one, of = np.unique(h, return_index=True, return_inverse=True)
@@ -164,12 +207,13 @@ class Pieces:
             low = high
             row = np.full(len(one), -1)
             row[chosen] = np.arange(len(chosen))
-            for lo in range(0, len(chosen), 8_000):
-                units = chosen[lo : lo + 8_000]
+            most = max(1, min(8_000, _CELLS // high))
+            for lo in range(0, len(chosen), most):
+                units = chosen[lo : lo + most]
                 n = size[one[units]]
                 grid = starts[one[units]][:, None] + np.arange(high)[None, :]
                 codes = np.where(np.arange(high)[None, :] < n[:, None], marked[np.minimum(grid, len(code) - 1)], 0x110001)
-                ids, cum = self._filter(codes, n)
+                ids, cum = self._filter(codes)
                 u = row[of] - lo
                 occ = np.flatnonzero((u >= 0) & (u < len(units)) & (row[of] >= 0))
                 at, u, step = size[occ].copy(), u[occ], 0
@@ -184,6 +228,12 @@ class Pieces:
                     step += 1
                     go = at > 0
                     occ, at, u = occ[go], at[go], u[go]
+        for u in np.flatnonzero(size[one] > low).tolist():
+            occ, lo = np.flatnonzero(of == u), starts[one[u]]
+            for o, (places, ids) in zip(occ.tolist(), self._long(marked[lo : lo + size[one[u]]], noise[occ]), strict=True):
+                got = np.array(ids, np.int64)
+                pieces.append((np.full(len(got), o), np.arange(len(got)), np.where(got == -2, -1 - code[starts[o] + np.array(places)], got)))
+                count[o] = len(got)
         place = np.cumsum(count)
         out = np.zeros(place[-1], np.int64)
         for occ, step, got in pieces:
