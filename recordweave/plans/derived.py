@@ -14,6 +14,7 @@ from ..functions import text as T
 
 _STATUS = ("Active", "Proposed", "Deferred", "Superseded", "Rejected")
 _PREFIX = ("ADR", "RFC", "SPEC")
+_BATCH, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,8 @@ def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's whole, unchanged text after lines of markdown: bare codes, a directive, URLs and links."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))  # whole texts: a batch must stay within a worker's memory
     d = table(spark, sf_dir, "documents")
     n = F.col("doc_id") % 600
     lines = [
