@@ -28,6 +28,19 @@ _Q = np.uint64(0xD1342543DE82EF95)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+_BYTE_LOWER = _BYTE[_LOWER]
+_P_BACK = np.uint64(pow(int(_P), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers of the hash's base, from the first, and of its inverse, from the zeroth."""
+    if n > 4 * BLOCK_BYTES:  # one very long text: not kept
+        power = np.cumprod(np.full(n, _P))
+        return power, np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _P_BACK)]))
+    if n > len(_POWERS[0]):
+        _POWERS[:] = [np.cumprod(np.full(4 * BLOCK_BYTES, _P)), np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4 * BLOCK_BYTES - 1, _P_BACK)]))]
+    return _POWERS[0], _POWERS[1]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,9 +48,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; a temporary one is set only where that is unset."""
+    """A fresh folder under ``spark.checkpoint.dir``; only a local session may do without that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.gettempdir()}/recordweave-checkpoints"
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/recordweave-{name}-{uuid.uuid4().hex}"
@@ -54,6 +69,25 @@ def cut(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this share of all rows is hot; there are fewer than its inverse, so their rows may be broadcast.
+HOT_SHARE = 1e-4
+
+
+def spread_join(rows: DataFrame, found: DataFrame, key: str, count: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``found``, which has one row a key and in ``count`` how many of the ``total`` rows share it.
+
+    Hot keys have at most 1 / HOT_SHARE rows in ``found`` whatever the data, and are
+    broadcast, so their rows stay where they are; all others meet by a shuffle.
+    ``rows`` should be a table, as it is read twice. ``count`` is dropped.
+    """
+    least = max(1, int(total * HOT_SHARE))
+    names = [c for c in found.columns if c not in (key, count)]
+    hot = found.where(F.col(count) > least).drop(count)
+    cold = found.where(F.col(count) <= least).drop(count)
+    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    return marked.where("_hot").drop("_hot").unionByName(marked.where("_hot IS NULL").drop("_hot", *names).join(cold, key, how))
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop shuffle files of frames that are no longer referenced."""
     import gc
@@ -122,17 +156,13 @@ class Words:
         self.first = np.searchsorted(self.start, off)
 
     def hashes(self, lower: bool = False) -> np.ndarray:
+        """Polynomial hash of each word: differences of one running sum, shifted back to the word's start."""
         if not len(self.start):
             return np.zeros(0, np.uint64)
-        data = _LOWER[self.data] if lower else self.data
-        length = self.end - self.start
-        power = np.cumprod(np.full(int(length.max()), _P))
-        within = np.arange(len(data), dtype=np.int64)
-        step = np.zeros(len(data), np.int64)
-        step[self.start] = np.diff(self.start, prepend=0)
-        within -= np.cumsum(step)
-        np.clip(within, 0, len(power) - 1, out=within)
-        return mix(np.add.reduceat(_BYTE[data] * power[within], self.start) + length.astype(np.uint64))
+        power, back = _powers(len(self.data))
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum((_BYTE_LOWER if lower else _BYTE)[self.data] * power[: len(self.data)], out=sums[1:])
+        return mix((sums[self.end] - sums[self.start]) * back[self.start] + (self.end - self.start).astype(np.uint64))
 
 
 def ngrams(h: np.ndarray, k: int) -> np.ndarray:

@@ -5,19 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir
+from .common import cut, remove_dir, shared_dir
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) of every node of ``edges(a, b)``; label is the component's smallest node.
 
-    Labels travel through joins-free group-bys; a star's centre is met as a minimum,
-    pre-aggregated before each shuffle, so no neighbourhood is ever collected.
+    Each step is written as a table and the one before it is deleted; what is returned
+    is a table too. A star's centre is met as a minimum, pre-aggregated before each
+    shuffle, so no neighbourhood is ever collected. Edges from a node to itself count
+    for nothing; no edges give no rows.
     """
     spark = edges.sparkSession
     folder = shared_dir(spark, "components")
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0")
-    step = 0
+    now, before, step = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{folder}/0"), None, 0
     while True:
         step += 1
         both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,7 +30,16 @@ def components(edges: DataFrame) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         nxt = cut(small, f"{folder}/{step}")
-        changed = nxt.exceptAll(now).limit(1).count() or now.exceptAll(nxt).limit(1).count()
+        # distinct edges: equal sizes and sums of hashes on a wide type mean equal tables
+        sums = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))]
+        state = tuple(nxt.agg(*sums).first())
+        for old in (f"{step - 1}", f"{step}-large"):
+            remove_dir(spark, f"{folder}/{old}")
         now = nxt
-        if not changed:
-            return now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+        if state == before:
+            break
+        before = state
+    out = now.groupBy("a").agg(F.min("b").alias("label")).select(F.col("a").alias("node"), "label").unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("label")).distinct())
+    out = cut(out, f"{folder}-labels")
+    remove_dir(spark, folder)
+    return out

@@ -1,31 +1,41 @@
 """Self-join of documents by the Jaccard similarity of their word shingles, as components.
 
-A document is its set of 64-bit shingle hashes. Equal sets are one node. Two nodes
-can link only if they share a token among the first n/5 + 1 of either set, in one
-order of all tokens: those known to be frequent last. So the lists of these *short*
-tokens give the candidates and all other lists are only probed.
-
-Candidates of a token are not all pairs: its list elects centres, every member is
-searched against the centre, and a second look is needed only where the metric
-bound leaves room - Jaccard distance is a metric, so a member linked to a centre
-(distance <= 0.2) cannot link with one that is further than 0.4 from it - and only
-between members of different components of the links found so far. Lists of
-at most SMALL members (SMALL_LATER once a centre was taken out) meet in full, a bounded
-number of partners each.
-
-The search is the T-occurrence problem: of a centre's tokens, the inverted lists
-over its candidates are split; the short ones are merged with a heap, survivors of
-T - L occurrences are binary-probed in the L longest (DivideSkip).
+A document is its set of 64-bit shingle hashes; equal sets, known by a 128-bit digest,
+are one node. All tokens have one order: by how many chunks of the corpus hold them
+(counted exactly over all documents, on a grid of eighths of a power of two), then by
+value. A pair that links shares a token among the first n/5 + 1 of both sets, and a
+token that only one document holds cannot be it, so most documents are done after the
+count and only the rest is searched.
+
+Counting is two packed shuffles: chunks of documents send their distinct tokens in
+sorted runs of six bytes, and get back those that occur elsewhere. A token's traffic
+grows with the chunks, not with the documents that hold it.
+
+The search is the T-occurrence problem. Candidates are grouped by centre, in groups of
+bounded size; over their sets inverted lists are built, DivideSkip sets the longest
+aside, merges the short ones with a heap, and probes survivors in the long ones by
+binary search. It runs in two passes:
+
+* Lists of at most SMALL members meet in full. Longer ones meet in one centre, the same
+  node in most lists of a group of copies. As Jaccard distance is a metric, a centre
+  settles the members it links unless a member of another component is near enough.
+* What is not settled is counted anew, over these nodes alone: tokens within one
+  component no longer matter. The nodes that still share a token form clusters, and in
+  each cluster every node is searched against the inverted lists of all others, in
+  blocks of bounded size. This pass leaves nothing open.
 
 Null and empty texts have no shingles and link with nothing; equal rows and rows
 that share an id are one node each text; null ids take part and never name a
-component; an empty table gives no rows; only doc_id and text are read.
+component; ties in the order of tokens fall to their values; very long texts are one
+set like any other; an empty table gives no rows; only doc_id and text are read, so
+other columns cannot clash.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,22 +43,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, table, text_bytes
+from .common import Words, blocks, cut, inside, ngrams, remove_dir, row_key, shared_dir, small_batches, spread_join, table, text_bytes
 from .components import components
 
 K = 5
-#: Tokens whose place in the order is last because they are frequent: at most so many, by count.
-FREQUENT = 1 << 18
-#: A task reports tokens that so many of its documents hold; tokens with so many reports in all are frequent.
-TASK_COUNT, TOTAL_COUNT = 3, 12
+#: Text bytes of one chunk and of one task; tokens of about so many bytes are counted at once.
+CHUNK_BYTES, TASK_BYTES, BUCKET_BYTES = 4 << 20, 32 << 20, 8 << 20
 #: Token lists of at most so many members meet in full.
 SMALL = 16
-#: The same for what is left of longer lists after their first centre.
-SMALL_LATER = 64
-#: Ids that may be broadcast, after they were counted (eight bytes each); more are shuffled.
-BROADCAST_IDS = 200_000
-#: Centres of a longer list in each round after the first.
-CENTRES = 16
+#: Candidates of one centre that are searched at once.
+GROUP = 512
+#: Tokens of one block of a cluster.
+BLOCK_TOKENS = 1 << 20
+#: DivideSkip's cost rule: what a step of the merge costs against a binary probe.
+MU = 0.01
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
@@ -57,247 +65,363 @@ def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
     for lo, hi in blocks(off):
         w = Words(off[lo : hi + 1] - off[lo], data[off[lo] : off[hi]])
         h = w.hashes(lower=True)
-        g, ok = ngrams(h, k), inside(w.first, len(h), k)
+        g = ngrams(h, k)
         for i in range(hi - lo):
             a, b = int(w.first[i]), int(w.first[i + 1])
             if b - a >= k:
-                yield np.unique(g[a : b - k + 1][ok[a : b - k + 1]])
+                s = np.sort(g[a : b - k + 1])
+                yield s[np.concatenate([[True], s[1:] != s[:-1]])]
             elif b > a:
                 yield ngrams(h[a:b], b - a)  # fewer words than k: the whole sequence is the one shingle
             else:
                 yield np.zeros(0, np.uint64)
 
 
-def _frequent(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+# ---- counting: packed runs of tokens ----
+def _pack(tokens: np.ndarray) -> bytes:
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
 
-        def report():
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            keep = n >= TASK_COUNT
-            return pa.RecordBatch.from_arrays([pa.array(signed(u[keep])), pa.array(n[keep].astype(np.int64))], names=["t", "n"])
 
-        for batch in batches:
-            for s in shingle_sets(batch.column("text"), k):
-                held.append(s)
-                size += len(s)
-            if size > 8_000_000:
-                yield report()
-                held, size = [], 0
-        if held:
-            yield report()
+def _unpack(raw: list[bytes]) -> np.ndarray:
+    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
+    out = np.zeros((len(flat), 8), np.uint8)
+    out[:, :6] = flat
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _runs(sorted_: np.ndarray) -> np.ndarray:
+    """Starts of runs of equal neighbours."""
+    return np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
 
-    return run
 
+def _grid(n: np.ndarray) -> np.ndarray:
+    """Counts on a grid of eighths of a power of two; 1 becomes 0, and anything above it more."""
+    return np.minimum(255, np.ceil(8 * np.log2(np.maximum(n, 1)))).astype(np.uint8)
 
-def frequent_tokens(docs: DataFrame, k: int = K, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted tokens, rank by count) of tokens that many documents hold; at most ``most``."""
-    counts = docs.select("text").mapInArrow(_frequent(k), "t long, n long").groupBy("t").agg(F.sum("n").alias("n")).where(F.col("n") >= TOTAL_COUNT)
-    top = counts.orderBy(F.desc("n"), "t").limit(most).toPandas()
-    order = np.argsort(top["t"].to_numpy().view(np.uint64) if len(top) else np.zeros(0, np.uint64))
-    tokens = top["t"].to_numpy(np.int64).view(np.uint64)[order]
-    return tokens, (len(top) - order).astype(np.int64)
-
-
-def _signatures(k: int, frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, rank = frequent.value
-        for batch in batches:
-            n, x, off, out = [], [], [0], []
-            for s in shingle_sets(batch.column("text"), k):
-                n.append(len(s))
-                if not len(s):
-                    x.append(None)
-                    off.append(off[-1])
-                    continue
-                x.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True))
-                size = len(s) // 5 + 1
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    last = tokens[at] == s
-                    rare = s[~last]
-                    p = rare[:size] if len(rare) >= size else np.concatenate([rare, s[last][np.argsort(rank[at[last]], kind="stable")][: size - len(rare)]])
-                else:
-                    p = s[:size]
-                out.append(p)
-                off.append(off[-1] + len(p))
-            flat = signed(np.concatenate(out)) if out else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(x, pa.int64()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat)), batch.column("k")],
-                names=["doc_id", "n", "x", "prefix", "k"],
-            )
+
+def _tokens(k: int, buckets: int):
+    """The first 48 bits of a chunk's distinct tokens and the number of its documents that hold them, by bucket."""
+
+    def run(chunk: pa.Table) -> pa.Table:
+        sets = list(shingle_sets(chunk.column("text"), k))
+        flat = np.sort(np.concatenate([np.zeros(0, np.uint64), *sets])) >> np.uint64(16)
+        at = _runs(flat)
+        tokens, n = flat[at], np.minimum(255, np.diff(np.append(at, len(flat)))).astype(np.uint8)
+        bounds = np.searchsorted(tokens, [(i << 48) // buckets + ((i << 48) % buckets > 0) for i in range(buckets + 1)])
+        out = [(i, _pack(tokens[lo:hi]), n[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if hi > lo]
+        number = chunk.column("chunk")[0].as_py() if chunk.num_rows else 0
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([number] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["b", "chunk", "t", "n"])
 
     return run
 
 
-def _sets(k: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 250):
-                part = batch.slice(lo, 250)
-                raw = [s.tobytes() for s in shingle_sets(part.column("text"), k)]
-                yield pa.RecordBatch.from_arrays([part.column("x"), pa.array(raw, pa.binary())], names=["x", "tokens"])
+def _count(rows: pa.Table) -> pa.Table:
+    """For each chunk of a bucket: its tokens that two documents or more hold, and their counts on the grid."""
+    raw, n = rows.column("t").to_pylist(), np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8).astype(np.int64)
+    tokens, owner = _unpack(raw), np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
+    order = np.argsort(tokens, kind="stable")
+    at = _runs(tokens[order])
+    total = np.zeros(len(tokens), np.int64)
+    if len(at):
+        total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(tokens))))
+    keep = total > 1
+    tokens, owner, rank = tokens[keep], owner[keep], _grid(total[keep])
+    bounds = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
+    some = [i for i in range(len(raw)) if bounds[i + 1] > bounds[i]]
+    return pa.table(
+        [rows.column("chunk").combine_chunks().take(pa.array(some, pa.int64())), pa.array([_pack(tokens[bounds[i] : bounds[i + 1]]) for i in some], pa.binary()), pa.array([rank[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())],
+        names=["chunk", "t", "r"],
+    )
+
+
+_SIGNED = "doc_id long, k long, n long, x binary, shared int, prefix array<long>, tokens binary"
+
+
+def _signatures(k: int):
+    def run(chunk: pa.Table, counted: pa.Table) -> pa.Table:
+        known, rank = _unpack(counted.column("t").to_pylist()), np.frombuffer(b"".join(counted.column("r").to_pylist()), np.uint8)
+        order = np.argsort(known)
+        known, rank = np.append(known[order], np.uint64(1 << 63)), np.append(rank[order], 0)
+        n, x, shared, prefix, raw, seen = [], [], [], [], [], set()
+        for s in shingle_sets(chunk.column("text"), k):
+            n.append(len(s))
+            x.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+            head = s >> np.uint64(16)
+            at = np.searchsorted(known, head)
+            hit = np.flatnonzero(known[at] == head)
+            left = len(s) // 5 + 1 - (len(s) - len(hit))
+            shared.append(len(hit))
+            if not len(s) or left <= 0 or x[-1] in seen:
+                prefix.append(None)
+                raw.append(None)
+                continue
+            seen.add(x[-1])
+            prefix.append(s[hit[np.argsort(rank[at[hit]], kind="stable")[:left]]].view(np.int64))
+            raw.append(s.tobytes())
+        return pa.table(
+            [chunk.column("doc_id"), chunk.column("k"), pa.array(n, pa.int64()), pa.array(x, pa.binary()), pa.array(shared, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+            names=["doc_id", "k", "n", "x", "shared", "prefix", "tokens"],
+        )
 
     return run
 
 
+def signatures(docs: DataFrame, k: int, path: str) -> DataFrame:
+    """One row a document: its key, set size and digest; with prefix and tokens where it may link (once a chunk for equal sets)."""
+    spark = docs.sparkSession
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks, tasks = math.ceil(size / CHUNK_BYTES) or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
+    keyed = docs.select("doc_id", "text", row_key().alias("k")).withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int")).repartition(tasks, "chunk")
+    buckets = max(tasks, math.ceil(size / BUCKET_BYTES))
+    runs = keyed.groupBy("chunk").applyInArrow(_tokens(k, buckets), "b int, chunk int, t binary, n binary")
+    counted = runs.groupBy("b").applyInArrow(_count, "chunk int, t binary, r binary")
+    return cut(keyed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_signatures(k), _SIGNED), path)
+
+
+# ---- T-occurrence search ----
+class Inverted:
+    """Inverted lists over the sets of a block, as one table sorted by (token, member)."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        flat, owner = np.concatenate([np.zeros(0, np.uint64), *sets]), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(flat, kind="stable")
+        self.tokens, self.owner, self.n = flat[order], owner[order], len(sets)
+        self.starts = _runs(self.tokens)
+        self.distinct, self.ends = self.tokens[self.starts], np.append(self.starts[1:], len(flat))
+
+    def lists(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(start, end) of the lists of the query's tokens, shortest first."""
+        at = np.searchsorted(self.distinct, query)
+        at = at[(at < len(self.distinct)) & (self.distinct[np.minimum(at, len(self.distinct) - 1)] == query)] if len(self.distinct) else at[:0]
+        size = self.ends[at] - self.starts[at]
+        at = at[np.argsort(size, kind="stable")]
+        return self.starts[at], self.ends[at]
+
+    def _merge(self, query: np.ndarray, t: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+        """Members that the short lists leave, how often they hold them, and the long lists."""
+        lo, hi = self.lists(query)
+        if t < 1 or len(lo) < t:
+            return [], [], lo[:0], hi[:0]
+        n_long = long_lists(t, int(hi[-1] - lo[-1]), len(lo))
+        n_short, need = len(lo) - n_long, t - n_long
+        alive, counts = [], []
+        last, seen = -1, 0
+        for i in heapq.merge(*(self.owner[a:b].tolist() for a, b in zip(lo[:n_short].tolist(), hi[:n_short].tolist(), strict=True))):
+            if i == last:
+                seen += 1
+                continue
+            if seen >= need:
+                alive.append(last)
+                counts.append(seen)
+            last, seen = i, 1
+        if seen >= need:
+            alive.append(last)
+            counts.append(seen)
+        return alive, counts, lo[n_short:], hi[n_short:]
+
+    def survivors(self, query: np.ndarray, t: int) -> list[int]:
+        return self._merge(query, t)[0]
+
+    def search(self, query: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """(members, overlap) of the sets that share at least ``t`` tokens with ``query``."""
+        alive, counts, lo, hi = self._merge(query, t)
+        members, overlap = np.array(alive, np.int64), np.array(counts, np.int64)
+        if len(lo) and len(members):
+            # one sorted table of (list, member): every survivor is probed in every long list by binary search
+            length = hi - lo
+            place = np.repeat(lo - np.concatenate([[0], np.cumsum(length)[:-1]]), length) + np.arange(int(length.sum()))
+            key = np.repeat(np.arange(len(lo)), length) * self.n + self.owner[place]
+            probe = (np.arange(len(lo))[None, :] * self.n + members[:, None]).ravel()
+            at = np.minimum(np.searchsorted(key, probe), len(key) - 1)
+            overlap = overlap + (key[at] == probe).reshape(len(members), -1).sum(1)
+        enough = overlap >= t
+        return members[enough], overlap[enough]
+
+
+def long_lists(t: int, longest: int, lists: int) -> int:
+    """How many lists DivideSkip sets aside: more the cheaper a probe is against the merge, fewer than ``t``."""
+    return max(0, min(t - 1, lists, int(t / (MU * math.log2(max(2, longest)) + 1))))
+
+
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], least: list[int]) -> dict[int, int]:
     """Overlap with ``query`` of each set i that shares at least ``least[i]`` tokens with it."""
-    if not len(sets) or not len(query):
-        return {}
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    flat = np.concatenate(sets)
-    at = np.minimum(np.searchsorted(query, flat), len(query) - 1)
-    hit = query[at] == flat
-    at, owner = at[hit], owner[hit]
-    by = np.lexsort((owner, at))
-    at, owner = at[by], owner[by]
-    bounds = np.searchsorted(at, np.arange(len(query) + 1))
-    lists = [owner[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True) if b > a]
-    lists.sort(key=len)
-    t = min(least)
-    n_long = min(len(lists), max(0, t - 1))
-    short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-    need, counts = max(1, t - n_long), {}
-    last, seen = -1, 0
-    for i in heapq.merge(*(x.tolist() for x in short)):
-        if i == last:
-            seen += 1
-            continue
-        if seen >= need:
-            counts[last] = seen
-        last, seen = i, 1
-    if last >= 0 and seen >= need:
-        counts[last] = seen
-    if not counts:
+    if not sets or not len(query):
         return {}
-    alive = np.array(list(counts))
-    total = np.array(list(counts.values()))
-    if long_:
-        # one sorted table of (list, member): every survivor is probed in every long list by binary search
-        key = np.concatenate([i * len(sets) + x for i, x in enumerate(long_)])
-        probe = (np.arange(len(long_))[None, :] * len(sets) + alive[:, None]).ravel()
-        place = np.minimum(np.searchsorted(key, probe), len(key) - 1)
-        total = total + (key[place] == probe).reshape(len(alive), -1).sum(1)
-    return {int(i): int(o) for i, o in zip(alive, total, strict=True) if o >= least[i]}
-
-
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Overlaps of pairs (c, y): candidates of one centre that came together are searched at once."""
-    for batch in batches:
-        c, y = batch.column("c").to_pylist(), batch.column("y").to_pylist()
-        cs, ys = batch.column("ct").to_pylist(), batch.column("yt").to_pylist()
-        groups: dict[int, list[int]] = {}
-        for i, x in enumerate(c):
-            groups.setdefault(x, []).append(i)
-        rows = []
-        for x, at in groups.items():
-            q = np.frombuffer(cs[at[0]], np.uint64)
-            sets = [np.frombuffer(ys[i], np.uint64) for i in at]
-            # similarity of 0.6 at least: below that the metric bound settles the pair
-            least = [max(1, -(-3 * (len(q) + len(s)) // 8)) for s in sets]
-            for j, o in divide_skip(q, sets, least).items():
-                rows.append((x, y[at[j]], 180 * o >= 80 * (len(q) + len(sets[j]))))
-        cols = list(zip(*rows, strict=True)) or [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_())], names=["c", "y", "linked"])
-
-
-def _short_pairs(members: DataFrame, sizes: DataFrame, small: int) -> DataFrame:
-    """Pairs (c, y) that meet in lists of at most ``small`` members and may link.
-
-    Of two prefixes in one order, the one that ends first holds every shared token up to
-    there in common with the other; so a pair that links shares at least p - (n - T) of
-    its p prefix tokens, T being the overlap it needs. Tokens with long lists are not
-    counted here, so as many as either node has of them are allowed for. (A pair that
-    met in a short list of an earlier round was settled there.)
-    """
-    met = members.where(F.col("size") <= small).groupBy("t").agg(F.array_sort(F.collect_list("x")).alias("xs")).groupBy("xs").agg(F.count("*").alias("times"))
-    pairs = met.select("times", F.explode("xs").alias("c"), "xs").select("times", "c", F.explode("xs").alias("y")).where("c < y").groupBy("c", "y").agg(F.sum("times").alias("s"))
-    of = lambda name: sizes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"), F.col("long").alias(f"long_{name}"))
-    both = pairs.join(of("c"), "c").join(of("y"), "y").withColumn("need", F.expr("(4 * (n_c + n_y) + 8) div 9"))
-    least = F.expr("least(n_c div 5 + 1 - (n_c - need), n_y div 5 + 1 - (n_y - need))")
-    return both.where("need <= n_c AND need <= n_y").where(F.col("s") + F.least("long_c", "long_y") >= least).select("c", "y")
-
-
-def _all(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
+    members, overlap = Inverted(sets).search(query, min(least))
+    return {i: o for i, o in zip(members.tolist(), overlap.tolist(), strict=True) if o >= least[i]}
 
 
-def _links(docs: DataFrame, sig: DataFrame, folder: str, k: int) -> tuple[DataFrame | None, DataFrame]:
-    """Links (a, b) between nodes that give the components of all links, and ``sig`` without its tokens."""
-    spark = docs.sparkSession
-    nodes = sig.where("x is not null").groupBy("x").agg(F.min(F.struct("n", "prefix")).alias("s")).select("x", "s.n", "s.prefix")
-    nodes = cut(nodes, f"{folder}/nodes")
-    slim = cut(sig.drop("prefix"), f"{folder}/documents")
-    remove_dir(spark, f"{folder}/signatures")
-    sig = slim
-    lists = nodes.select("x", F.explode("prefix").alias("t"))
-    shared = lists.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
-    members = cut(lists.join(shared, "t").select("t", "x", "size"), f"{folder}/members-0")
-    release_shuffles(spark)
-    if members.isEmpty():
-        return None, sig
-    # of each node: its tokens, and its tokens with long lists, which do not meet in full
-    sizes = nodes.select("x", "n").join(members.groupBy("x").agg(F.count_if(F.col("size") > SMALL).alias("long")), "x")
-    sizes = cut(sizes, f"{folder}/sizes")
-    remove_dir(spark, f"{folder}/nodes")
-    release_shuffles(spark)
-    small = cut(_short_pairs(members, sizes, SMALL), f"{folder}/pairs")
-    # a text for each node that is compared
-    wanted = small.select(F.col("c").alias("x")).unionByName(small.select(F.col("y").alias("x"))).unionByName(members.where(F.col("size") > SMALL).select("x")).distinct()
-    texts = sig.where("x is not null").groupBy("x").agg(F.min("k").alias("k")).join(wanted, "x")
-    keyed = docs.withColumn("k", row_key()).select("k", "text")
-    chosen = keyed.join(texts, "k").select("x", "text")
-    sets = cut(chosen.mapInArrow(_sets(k), "x long, tokens binary"), f"{folder}/sets")
-    release_shuffles(spark)
-    found, step = [], 0
-    while True:
-        most = SMALL_LATER if step else SMALL
-        pairs = _short_pairs(members, sizes, most) if step else small
-        large = members.where(F.col("size") > most)
-        # of each list: the least of each of a few buckets, in an order of the list's own
-        bucket = F.pmod(F.xxhash64("x"), F.lit(CENTRES if step else 1))
-        centres = large.groupBy("t", bucket.alias("bucket")).agg(F.min(F.struct(F.xxhash64("t", "x").alias("r"), "x")).alias("c")).select("t", F.col("c.x").alias("c"))
-        starred = large.join(centres, "t")
-        stars = starred.where("x <> c").select(F.least("c", "x").alias("c"), F.greatest("c", "x").alias("y")).distinct()
-        of = lambda name: sizes.select(F.col("x").alias(name), F.col("n").alias(f"n_{name}"))
-        stars = stars.join(of("c"), "c").join(of("y"), "y").where("5 * n_c >= 3 * n_y AND 5 * n_y >= 3 * n_c").select("c", "y")  # else similarity is below 0.6
-        todo = pairs.unionByName(stars).distinct()
-        a, b = sets.select(F.col("x").alias("c"), F.col("tokens").alias("ct")), sets.select(F.col("x").alias("y"), F.col("tokens").alias("yt"))
-        checked = todo.join(a, "c").join(b, "y").select("c", "y", "ct", "yt")
-        near = cut(checked.mapInArrow(_search, "c long, y long, linked boolean").distinct(), f"{folder}/near-{step}")
-        release_shuffles(spark)
-        found.append(near.where("linked").select(F.col("c").alias("a"), F.col("y").alias("b")))
-        if large.isEmpty():
-            break
-        both = near.unionByName(near.select(F.col("y").alias("c"), F.col("c").alias("y"), "linked")).select("c", F.col("y").alias("x"), F.col("linked").alias("now"))
-        label = components(_all(found))
-        of = lambda key: label.select(F.col("node").alias(key), F.col("label").alias(f"{key}_label"))
-        # now: true if linked, false if close, null if further than 0.4 from the centre
-        seen = starred.join(both, ["c", "x"], "left").join(of("x"), "x", "left").join(of("c"), "c", "left")
-        seen = cut(seen.select("t", "c", "x", "now", F.coalesce("x_label", "x").alias("label"), F.coalesce("c_label", "c").alias("c_label")), f"{folder}/seen-{step}")
-        # a centre settles those it links unless one of another component is close to it
-        open_ = seen.groupBy("t", "c").agg(F.coalesce(F.max((~F.col("now")) & (F.col("label") != F.col("c_label"))), F.lit(False)).alias("open"))
-        rest = seen.join(open_, ["t", "c"]).groupBy("t", "x").agg(
-            F.max(F.col("x") == F.col("c")).alias("centre"), F.coalesce(F.max(F.col("now") & ~F.col("open")), F.lit(False)).alias("settled"), F.first("label").alias("label")
-        ).where("NOT centre AND NOT settled")
-        lists_now = rest.groupBy("t").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "size")
-        step += 1
-        members = cut(rest.join(lists_now, "t").select("t", "x", "size"), f"{folder}/members-{step}")
-        if members.isEmpty():
-            break
-        # from here on only what is left is fetched
-        left = members.select("x").distinct()
-        left = F.broadcast(left) if left.count() <= BROADCAST_IDS else left
-        sets = cut(sets.join(left, "x", "left_semi"), f"{folder}/sets-{step}")
-        remove_dir(spark, f"{folder}/sets" if step == 1 else f"{folder}/sets-{step - 1}")
-        release_shuffles(spark)
-    for part in ("nodes", "sizes", "pairs", "sets", *(f"{name}-{i}" for i in range(step + 1) for name in ("members", "seen", "sets"))):
-        remove_dir(spark, f"{folder}/{part}")
-    return _all(found), sig
+def _needed(a: int, b):
+    """Overlap at which sets of these sizes have a similarity of 0.8."""
+    return (4 * (a + b) + 8) // 9
+
+
+def _near(a: int, b):
+    """Overlap at which they have one of 0.6."""
+    return (3 * (a + b) + 7) // 8
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Rows of one key, which follow each other; a group is bounded by how its key was dealt."""
+    held, now = [], None
+    for batch in batches:
+        for row in batch.to_pylist():
+            key = tuple(row[c] for c in keys)
+            if key != now and held:
+                yield held
+                held = []
+            now = key
+            held.append(row)
+    if held:
+        yield held
+
+
+_FOUND = "c long, y long, linked boolean, distance double"
+
+
+def _search_centres(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each centre and its candidates (its own row comes first): those of a similarity of 0.6 or more."""
+    out = []
+    for rows in _grouped(batches, ["c", "part"]):
+        centre, rest = rows[0], rows[1:]
+        query, sets = np.frombuffer(centre["tokens"], np.uint64), [np.frombuffer(r["tokens"], np.uint64) for r in rest]
+        if not sets:
+            continue
+        for i, o in divide_skip(query, sets, [_near(len(query), len(x)) for x in sets]).items():
+            n = len(sets[i])
+            out.append((centre["c"], rest[i]["y"], o >= _needed(len(query), n), 1 - o / (len(query) + n - o)))
+        if len(out) > 10_000:
+            yield _found(out)
+            out = []
+    yield _found(out)
+
+
+def _found(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.bool_()), pa.array(cols[3], pa.float64())], names=["c", "y", "linked", "distance"])
+
+
+def _search_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components within a pair of blocks, as few as join what links."""
+    for rows in _grouped(batches, ["cluster", "i", "j"]):
+        left, right = [r for r in rows if r["own"] == r["i"]], [r for r in rows if r["own"] == r["j"]]
+        parent: dict[int, int] = {r["label"]: r["label"] for r in rows}
+
+        def root(a: int, parent: dict[int, int] = parent) -> int:
+            while parent[a] != a:
+                parent[a] = parent[parent[a]]
+                a = parent[a]
+            return a
+
+        right = sorted(right, key=lambda r: r["n"])
+        size = np.array([r["n"] for r in right], np.int64)
+        index, out = Inverted([np.frombuffer(r["tokens"], np.uint64) for r in right]), []
+        for r in left:
+            query = np.frombuffer(r["tokens"], np.uint64)
+            members, overlap = index.search(query, -(-4 * len(query) // 5))  # sets below 4/5 of its size cannot link
+            for i in members[overlap >= _needed(len(query), size[members])].tolist():
+                a, b = root(r["label"]), root(right[i]["label"])
+                if a != b:
+                    parent[a] = b
+                    out.append((r["id"], right[i]["id"], True, 0.0))
+        yield _found(out)
+
+
+# ---- the two passes ----
+def _by_size(name: str, nodes: DataFrame) -> DataFrame:
+    return nodes.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("shared").alias(f"shared_{name}"))
+
+
+def _star_pass(members: DataFrame, nodes: DataFrame, total: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(what was found around centres, the centre of each long list)."""
+    spark = members.sparkSession
+    short = members.where(F.col("size") <= SMALL).groupBy("t").agg(F.array_sort(F.collect_list("id")).alias("ids")).select("ids").distinct()
+    pairs = short.select(F.explode("ids").alias("c"), "ids").select("c", F.explode("ids").alias("y")).where("c < y")
+    # one order of nodes for all lists, so that lists of one group of copies have the same centre
+    centres = members.where(F.col("size") > SMALL).groupBy("t").agg(F.min(F.struct(F.xxhash64("id").alias("r"), F.col("id"))).alias("c"), F.count("*").alias("size")).select("t", F.col("c.id").alias("c"), "size")
+    centres = cut(centres, f"{folder}/centres")
+    stars = spread_join(members.select("t", F.col("id").alias("y")), centres, "t", "size", total).where("c <> y").select("c", "y")
+    todo = pairs.unionByName(stars).distinct()
+    # a pair of stars is of use up to a distance of 0.4, so the bound is that of 0.6 for all
+    todo = todo.join(_by_size("c", nodes), "c").join(_by_size("y", nodes), "y").where("least(shared_c, shared_y) >= (3 * (n_c + n_y) + 7) div 8").select("c", "y")
+    todo = cut(todo, f"{folder}/todo")
+    groups = todo.groupBy("c").agg(F.ceil(F.count("*") / GROUP).alias("parts"), F.count("*").alias("n"))
+    own = groups.select("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("c").alias("y"), F.lit(0).alias("role"))
+    others = spread_join(todo, groups, "c", "n", total).select("c", F.pmod(F.xxhash64("y"), F.col("parts")).alias("part"), "y", F.lit(1).alias("role"))
+    dealt = own.unionByName(others).join(nodes.select(F.col("id").alias("y"), "tokens"), "y")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "c", "part").sortWithinPartitions("c", "part", "role", "y").select("c", "part", "y", "tokens")
+    return cut(dealt.mapInArrow(_search_centres, _FOUND), f"{folder}/near"), centres
+
+
+def _open(members: DataFrame, centres: DataFrame, near: DataFrame, labels: DataFrame, total: int, folder: str) -> DataFrame:
+    """(id, label) of members of long lists that the centre did not settle."""
+    of = lambda key: labels.select(F.col("node").alias(key), F.col("label").alias(f"{key}_label"))
+    named = centres.join(of("c"), "c", "left").withColumn("c_label", F.coalesce("c_label", "c"))
+    long_ = spread_join(members.where(F.col("size") > SMALL).select("t", "id"), named, "t", "size", total).where("id <> c")
+    both = near.select("c", F.col("y").alias("id"), "linked", "distance").unionByName(near.select(F.col("y").alias("c"), F.col("c").alias("id"), "linked", "distance"))
+    seen = long_.join(both, ["c", "id"], "left").join(of("id"), "id", "left")
+    seen = cut(seen.select("t", "id", "linked", "distance", F.coalesce("id_label", "id").alias("label"), "c_label"), f"{folder}/seen")
+    other = F.col("label") != F.col("c_label")
+    # the least distance of another component; those further than 0.4 have none
+    lists = seen.groupBy("t").agg(F.min(F.when(other, F.col("distance"))).alias("nearest"), F.max(other).alias("others"), F.count("*").alias("size")).where("others").drop("others")
+    settled = (F.col("label") == F.col("c_label")) & F.coalesce(F.col("linked"), F.lit(False)) & (F.col("nearest").isNull() | (F.col("distance") + 0.2 + 1e-9 < F.col("nearest")))
+    left = cut(spread_join(seen, lists, "t", "size", total).where(~settled).select("t", "id", "label"), f"{folder}/left")
+    many = left.groupBy("t").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size")).where("low <> high").select("t", "size")
+    return spread_join(left, many, "t", "size", total).select("id", "label").distinct()
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 100):
+            part = batch.slice(lo, 100)
+            sets = [np.frombuffer(x, np.int64) for x in part.column("tokens").to_pylist()]
+            index = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *sets])), part.column("id").take(index), part.column("label").take(index)], names=["t", "id", "label"])
+
+
+def _block_pass(open_: DataFrame, folder: str) -> DataFrame | None:
+    """Links among the open nodes (id, label, n, tokens), each searched against all of its cluster."""
+    spark = open_.sparkSession
+    tokens = cut(open_.select("id", "label", "tokens").mapInArrow(_explode, "t long, id long, label long"), f"{folder}/tokens")
+    # tokens of one component cannot be shared by a pair that matters
+    several = tokens.groupBy("t").agg(F.count("*").alias("df"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("t", "df")
+    ranked = tokens.join(several, "t").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "t"))).alias("some"))
+    prefix = ranked.join(open_.select("id", "n"), "id").select("id", F.slice("some", 1, F.greatest(F.lit(0), F.size("some") - F.col("n") + F.floor(F.col("n") / 5) + 1).cast("int")).alias("some"))
+    lists = cut(prefix.select("id", F.explode("some.t").alias("t")), f"{folder}/lists")
+    edges = lists.join(lists.groupBy("t").agg(F.min("id").alias("low")), "t").select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b")
+    edges = cut(edges.distinct(), f"{folder}/edges")
+    if edges.isEmpty():
+        return None
+    clusters = components(edges).select(F.col("node").alias("id"), F.col("label").alias("cluster"))
+    nodes = cut(open_.join(clusters, "id").select("cluster", "id", "label", "n", "tokens"), f"{folder}/clusters")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.sum("n") / BLOCK_TOKENS).alias("blocks"))
+    own = nodes.join(sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("cluster", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "id", "label", "n", "tokens")
+    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "id")
+    return cut(dealt.mapInArrow(_search_blocks, _FOUND), f"{folder}/blocks").select(F.col("c").alias("a"), F.col("y").alias("b"))
+
+
+def _labels(sig: DataFrame, folder: str) -> DataFrame:
+    """(x, label) of the nodes that link with another; label is the same for all of a component."""
+    own = sig.where("prefix IS NOT NULL").groupBy("x").agg(F.first(F.struct("n", "shared", "prefix", "tokens")).alias("s"))
+    nodes = cut(own.select(F.monotonically_increasing_id().alias("id"), "x", "s.*"), f"{folder}/nodes")
+    lists = nodes.select("id", F.explode("prefix").alias("t"))
+    members = cut(lists.join(lists.groupBy("t").agg(F.count("*").alias("size")).where("size > 1"), "t").select("t", "id", "size"), f"{folder}/members")
+    total = members.count()
+    near, centres = _star_pass(members, nodes, total, folder)
+    links = near.where("linked").select(F.col("c").alias("a"), F.col("y").alias("b"))
+    labels = components(links)
+    if not centres.isEmpty():
+        open_ = cut(_open(members, centres, near, labels, total, folder).join(nodes.select("id", "n", "tokens"), "id"), f"{folder}/open")
+        more = _block_pass(open_, folder)
+        if more is not None and not more.isEmpty():
+            # components of the components found so far
+            of = lambda key: labels.select(F.col("node").alias(key), F.col("label").alias(f"{key}_label"))
+            joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b"))
+            upper = cut(components(joined), f"{folder}/upper")
+            old = labels.join(upper.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
+            labels = cut(old.unionByName(upper.join(labels, "node", "left_anti")), f"{folder}/labels")
+    return labels.join(nodes.select(F.col("id").alias("node"), "x"), "node").select("x", "label")
 
 
 def join(docs: DataFrame, k: int = K) -> DataFrame:
@@ -309,18 +433,18 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = shared_dir(spark, "ngram-join")
-    frequent = spark.sparkContext.broadcast(frequent_tokens(docs, k))
-    sig = docs.withColumn("k", row_key()).mapInArrow(_signatures(k, frequent), "doc_id long, n long, x long, prefix array<long>, k long")
-    sig = cut(sig, f"{folder}/signatures")
-    links, sig = _links(docs, sig, folder, k)
-    classes = sig.where("x is not null").groupBy("x").agg(F.min("doc_id").alias("low"))
-    if links is None or links.isEmpty():
-        named = classes.select("x", F.col("x").alias("component"), F.col("low").alias("component_id"))
-    else:
-        labels = classes.join(components(links).withColumnRenamed("node", "x"), "x", "left").select("x", "low", F.coalesce("label", "x").alias("label"))
-        named = labels.join(labels.groupBy("label").agg(F.min("low").alias("component_id")), "label").select("x", F.col("label").alias("component"), "component_id")
-    rows = sig.select("doc_id", F.col("n").alias("n_shingles"), "x", "k").join(named, "x", "left")
-    return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k", "component")
+    sig = signatures(docs, k, f"{folder}/signatures")
+    labels = _labels(sig, folder)
+    classes = sig.where("x IS NOT NULL").groupBy("x").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
+    # sets without a link are a component of their own, named by their digest
+    named = classes.join(labels, "x", "left").select("x", "low", "copies", F.coalesce(F.lpad(F.col("label").cast("string"), 20, "0"), F.hex("x")).alias("component"))
+    linked = named.where("length(component) = 20").groupBy("component").agg(F.min("low").alias("component_id"))
+    named = named.join(linked, "component", "left").select("x", "copies", "component", F.coalesce("component_id", "low").alias("component_id"))
+    named = cut(named, f"{folder}/named")
+    rows = spread_join(sig.select("doc_id", F.col("n").alias("n_shingles"), "x", "k"), named, "x", "copies", sig.count(), "left")
+    out = cut(rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "k", "component"), f"{folder}-result")
+    remove_dir(spark, folder)
+    return out
 
 
 def keep(docs: DataFrame) -> DataFrame:

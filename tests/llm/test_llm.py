@@ -257,9 +257,10 @@ def family(n, seed):
 
 @pytest.mark.parametrize("small", [16, 3])
 def test_near_copies(spark, docs, monkeypatch, small):
-    monkeypatch.setattr(ngram_join, "SMALL", small)  # 3: almost every list elects centres, round after round
-    monkeypatch.setattr(ngram_join, "SMALL_LATER", 4 * small if small > 3 else 6)
-    monkeypatch.setattr(ngram_join, "CENTRES", 16 if small > 3 else 4)
+    monkeypatch.setattr(ngram_join, "SMALL", small)  # 3: almost every list elects a centre
+    monkeypatch.setattr(ngram_join, "GROUP", 512 if small > 3 else 4)  # and candidates and clusters are dealt in several parts
+    monkeypatch.setattr(ngram_join, "BLOCK_TOKENS", 1 << 20 if small > 3 else 1000)
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 4 << 20 if small > 3 else 5000)
     got = ngram_join.join(docs.repartition(3)).collect()
     assert len(got) == len(corpus()) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(corpus())
     rows = family(40, 9)
@@ -284,6 +285,23 @@ def test_divide_skip():
         assert ngram_join.divide_skip(q, sets, least) == want
 
 
+def test_inverted_lists_reject_by_the_short_ones():
+    rng = random.Random(8)
+    for _ in range(60):
+        sets = [np.unique(np.array([rng.randrange(60) for _ in range(rng.randrange(1, 40))], np.uint64)) for _ in range(rng.randrange(0, 30))]
+        q = np.unique(np.array([rng.randrange(60) for _ in range(30)], np.uint64))
+        for t in (1, 3, 8, 15):
+            members, overlap = ngram_join.Inverted(sets).search(q, t)
+            want = {i: o for i, s in enumerate(sets) if (o := len(np.intersect1d(q, s))) >= t}
+            assert dict(zip(members.tolist(), overlap.tolist(), strict=True)) == want
+    # lists of several members; sets that are in the long lists alone are never probed
+    q, sets = np.arange(100, dtype=np.uint64), [np.arange(100, dtype=np.uint64)] * 3 + [np.arange(50, 150, dtype=np.uint64)] * 40
+    index = ngram_join.Inverted(sets)
+    lo, hi = index.lists(q)
+    assert (hi - lo).tolist() == [3] * 50 + [43] * 50
+    assert ngram_join.long_lists(80, 43, 100) > 50 and index.survivors(q, 80) == [0, 1, 2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 12)] + [(20, 25), (25, 21), (30, 30), (40, 41)]
     got = {r.node: r.label for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
