@@ -54,9 +54,11 @@ SMALL = 16
 #: Candidates of one centre that are searched at once.
 GROUP = 512
 #: Tokens of one block of a cluster.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 16
 #: DivideSkip's cost rule: what a step of the merge costs against a binary probe.
 MU = 0.01
+#: Entries of short lists up to which the heap is Python's own; above it the runs are merged by a stable sort.
+HEAP = 2000
 
 
 def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
@@ -117,15 +119,24 @@ def _tokens(k: int, buckets: int):
 
 def _count(rows: pa.Table) -> pa.Table:
     """For each chunk of a bucket: its tokens that two documents or more hold, and their counts on the grid."""
-    raw, n = rows.column("t").to_pylist(), np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8).astype(np.int64)
+    raw, n = rows.column("t").to_pylist(), np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
     tokens, owner = _unpack(raw), np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
-    order = np.argsort(tokens, kind="stable")
-    at = _runs(tokens[order])
-    total = np.zeros(len(tokens), np.int64)
-    if len(at):
-        total[order] = np.repeat(np.add.reduceat(n[order], at), np.diff(np.append(at, len(tokens))))
-    keep = total > 1
-    tokens, owner, rank = tokens[keep], owner[keep], _grid(total[keep])
+    again = np.flatnonzero(n > 1)  # tokens that one chunk holds several times
+    more, extra = tokens[again], n[again].astype(np.int64) - 1
+    if len(raw) <= 1 << 16:  # token and owner fit one number, which sorts fastest
+        both = np.sort(tokens << np.uint64(16) | owner.astype(np.uint64))
+        tokens, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.uint16)
+    else:
+        order = np.argsort(tokens, kind="stable")
+        tokens, owner = tokens[order], owner[order]
+    at = _runs(tokens)
+    size = np.diff(np.append(at, len(tokens)))
+    total = size.copy()
+    np.add.at(total, np.searchsorted(tokens[at], more), extra)
+    keep = np.repeat(total > 1, size)
+    tokens, owner, rank = tokens[keep], owner[keep], np.repeat(_grid(total), size)[keep]
+    order = np.argsort(owner, kind="stable")
+    tokens, owner, rank = tokens[order], owner[order], rank[order]
     bounds = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
     some = [i for i in range(len(raw)) if bounds[i + 1] > bounds[i]]
     return pa.table(
@@ -142,24 +153,27 @@ def _signatures(k: int):
         known, rank = _unpack(counted.column("t").to_pylist()), np.frombuffer(b"".join(counted.column("r").to_pylist()), np.uint8)
         order = np.argsort(known)
         known, rank = np.append(known[order], np.uint64(1 << 63)), np.append(rank[order], 0)
-        n, x, shared, prefix, raw, seen = [], [], [], [], [], set()
-        for s in shingle_sets(chunk.column("text"), k):
-            n.append(len(s))
-            x.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            head = s >> np.uint64(16)
-            at = np.searchsorted(known, head)
-            hit = np.flatnonzero(known[at] == head)
-            left = len(s) // 5 + 1 - (len(s) - len(hit))
-            shared.append(len(hit))
-            if not len(s) or left <= 0 or x[-1] in seen:
-                prefix.append(None)
-                raw.append(None)
+        sets = list(shingle_sets(chunk.column("text"), k))
+        n = np.array([len(s) for s in sets], np.int64)
+        first = np.concatenate([[0], np.cumsum(n)])
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets])
+        head = flat >> np.uint64(16)
+        at = np.searchsorted(known, head)
+        hit = known[at] == head
+        ends = np.concatenate([[0], np.cumsum(hit)])
+        shared = ends[first[1:]] - ends[first[:-1]]
+        left = n // 5 + 1 - (n - shared)
+        x = [hashlib.blake2b(s, digest_size=16).digest() if len(s) else None for s in sets]
+        prefix, raw, seen = [None] * len(sets), [None] * len(sets), set()
+        for i in np.flatnonzero((left > 0) & (n > 0)).tolist():
+            if x[i] in seen:
                 continue
-            seen.add(x[-1])
-            prefix.append(s[hit[np.argsort(rank[at[hit]], kind="stable")[:left]]].view(np.int64))
-            raw.append(s.tobytes())
+            seen.add(x[i])
+            some = first[i] + np.flatnonzero(hit[first[i] : first[i + 1]])
+            prefix[i] = flat[some[np.argsort(rank[at[some]], kind="stable")[: left[i]]]].view(np.int64)
+            raw[i] = sets[i].tobytes()
         return pa.table(
-            [chunk.column("doc_id"), chunk.column("k"), pa.array(n, pa.int64()), pa.array(x, pa.binary()), pa.array(shared, pa.int32()), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
+            [chunk.column("doc_id"), chunk.column("k"), pa.array(n), pa.array(x, pa.binary()), pa.array(shared.astype(np.int32)), pa.array(prefix, pa.list_(pa.int64())), pa.array(raw, pa.binary())],
             names=["doc_id", "k", "n", "x", "shared", "prefix", "tokens"],
         )
 
@@ -197,35 +211,29 @@ class Inverted:
         at = at[np.argsort(size, kind="stable")]
         return self.starts[at], self.ends[at]
 
-    def _merge(self, query: np.ndarray, t: int) -> tuple[list[int], list[int], np.ndarray, np.ndarray]:
+    def _merge(self, query: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Members that the short lists leave, how often they hold them, and the long lists."""
         lo, hi = self.lists(query)
         if t < 1 or len(lo) < t:
-            return [], [], lo[:0], hi[:0]
+            return lo[:0], lo[:0], lo[:0], hi[:0]
         n_long = long_lists(t, int(hi[-1] - lo[-1]), len(lo))
         n_short, need = len(lo) - n_long, t - n_long
-        alive, counts = [], []
-        last, seen = -1, 0
-        for i in heapq.merge(*(self.owner[a:b].tolist() for a, b in zip(lo[:n_short].tolist(), hi[:n_short].tolist(), strict=True))):
-            if i == last:
-                seen += 1
-                continue
-            if seen >= need:
-                alive.append(last)
-                counts.append(seen)
-            last, seen = i, 1
-        if seen >= need:
-            alive.append(last)
-            counts.append(seen)
-        return alive, counts, lo[n_short:], hi[n_short:]
+        short = [self.owner[a:b] for a, b in zip(lo[:n_short].tolist(), hi[:n_short].tolist(), strict=True)]
+        if sum(map(len, short)) <= HEAP:
+            merged = np.fromiter(heapq.merge(*(x.tolist() for x in short)), np.int64)
+        else:
+            merged = np.sort(np.concatenate(short), kind="stable")  # sorted runs: the same merge, outside the interpreter
+        at = _runs(merged)
+        counts = np.diff(np.append(at, len(merged)))
+        alive = counts >= need
+        return merged[at[alive]], counts[alive], lo[n_short:], hi[n_short:]
 
     def survivors(self, query: np.ndarray, t: int) -> list[int]:
-        return self._merge(query, t)[0]
+        return self._merge(query, t)[0].tolist()
 
     def search(self, query: np.ndarray, t: int) -> tuple[np.ndarray, np.ndarray]:
         """(members, overlap) of the sets that share at least ``t`` tokens with ``query``."""
-        alive, counts, lo, hi = self._merge(query, t)
-        members, overlap = np.array(alive, np.int64), np.array(counts, np.int64)
+        members, overlap, lo, hi = self._merge(query, t)
         if len(lo) and len(members):
             # one sorted table of (list, member): every survivor is probed in every long list by binary search
             length = hi - lo

@@ -157,9 +157,10 @@ def judge(docs: DataFrame, refs: list[dict] | None = None) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that pass, with all their columns."""
     rows = docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("row"))
-    # a predicate that Spark may not move: pushed below, it would repeat every expression it is made of
-    stays = F.when(F.col("kept"), F.monotonically_increasing_id() >= 0).otherwise(False)
-    return judge(rows, references(docs)).where(stays).select("row.*")
+    # Spark puts what a filter names in place of the name, and so repeats it, unless the
+    # projection below also makes a value that must not be made twice: the row number
+    judged = judge(rows, references(docs)).select("row", "kept", F.monotonically_increasing_id().alias("at"))
+    return judged.where("kept AND at >= 0").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
