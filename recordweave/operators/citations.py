@@ -7,7 +7,9 @@ and code first, so it plans as a hash or merge join with the range as a residual
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -16,48 +18,85 @@ from ..functions import text as T
 RETIRED, DANGLING = "inactive-ok", "unresolved-ok"
 SHAPED = r"(?im)\b(?:inactive-ok|unresolved-ok|url-ok)(?:-block|-file)?:[^\n]*?(?=—|-->|\*/|$)"
 URL = r"(?i)\b[a-z][a-z0-9+.-]*://[^\s<>)\]\"']+"
-FORMERLY = r"(?m)^formerly:[^\n]*(?:\n[ \t]*-[^\n]*|\n[ \t]+[^\n]*)*"
+FORMERLY = r"(?m)^formerly:[ \t]*$(?:\n- [^\n]*)*"
+
+#: Remotes as (lead, pattern of the rest): a prefix with its delimiter, longest first.
+Remotes = tuple[tuple[str, str], ...]
+
+
+def _foreign_pattern(remote: tuple[str, str]) -> str:
+    return rf"(?<![\w-]){re.escape(remote[0])}((?:{remote[1]}))(?!\w)"
+
+
+def _foreign(text: Column, remotes: Remotes) -> tuple[Column, Column]:
+    """(array of (lead, tail) of the remotes' codes in ``text``, the text without them)."""
+    found = F.array().cast("array<struct<lead: string, tail: string>>")
+    for r in remotes:
+        tails, lead = F.regexp_extract_all(text, F.lit(_foreign_pattern(r)), F.lit(1)), F.lit(r[0]).alias("lead")
+        found = F.concat(found, F.transform(tails, lambda x: F.struct(lead, x.alias("tail"))))  # noqa: B023  called at once
+        text = F.regexp_replace(text, _foreign_pattern(r), " ")
+    return found, text
+
+
+def _answered(rows: DataFrame, lock: DataFrame | None) -> DataFrame:
+    """``rows(lead, tail)`` with ``known``: false where the remote has a lock that lacks the code."""
+    if lock is None:
+        return rows.withColumn("known", F.lit(True))
+    has = lock.select(F.col("lead"), F.lit(True).alias("locked")).distinct()
+    hit = lock.select("lead", F.col("code").alias("tail"), F.lit(True).alias("hit")).distinct()
+    both = rows.join(F.broadcast(has), "lead", "left").join(hit, ["lead", "tail"], "left")
+    return both.withColumn("known", F.col("locked").isNull() | F.col("hit").isNotNull()).drop("locked", "hit")
 
 
-def extract(files: DataFrame, prefixes: tuple[str, ...], own: DataFrame | None = None) -> DataFrame:
+def extract(files: DataFrame, prefixes: tuple[str, ...], own: DataFrame | None = None, remotes: Remotes = (), lock: DataFrame | None = None) -> DataFrame:
     """Distinct (path, line, code) cited by ``files(path, text)``, code blocks included.
 
-    Directives, URLs and ``formerly:`` blocks are blanked first; line breaks stay.
-    ``own(path, code)`` are documents, which do not cite themselves.
+    Directives, URLs and ``formerly:`` lists are blanked first; line breaks stay.
+    ``own(path, code)`` are documents, which do not cite themselves. A code of a remote is
+    no local one: it counts, whole, only where ``lock(lead, code)`` says that the remote
+    has no such document.
     """
     formerly = F.regexp_extract_all("text", F.lit(FORMERLY), F.lit(0))
     plain = F.aggregate(formerly, F.col("text"), lambda t, x: F.replace(t, x, F.regexp_replace(x, r"[^\n]", " ")))
     shown = F.regexp_replace(F.regexp_replace(plain, SHAPED, " "), URL, " ")
-    mention = "|".join(prefixes)
+    mention = "|".join(map(re.escape, prefixes))
     # cheap test before anything is split
-    lines = files.where(F.col("text").rlike(rf"\b(?:{mention})[- ]\d")).select("path", F.posexplode(F.split(shown, "\n")).alias("i", "l"))
-    found = lines.select("path", (F.col("i") + 1).alias("line"), F.explode(F.regexp_extract_all("l", F.lit(rf"\b(?:{mention})[- ]\d{{1,4}}\b"), F.lit(0))).alias("m"))
-    cited = found.select("path", "line", T.canonical(F.col("m")).alias("code")).distinct()
+    some = "|".join([rf"\b(?:{mention})[- ]\d", *map(_foreign_pattern, remotes)])
+    lines = files.where(F.col("text").rlike(some)).select("path", F.posexplode(F.split(shown, "\n")).alias("i", "l"))
+    foreign, local = _foreign(F.col("l"), remotes)
+    lines = lines.select("path", (F.col("i") + 1).alias("line"), foreign.alias("foreign"), local.alias("l"))
+    found = lines.select("path", "line", F.explode(F.regexp_extract_all("l", F.lit(rf"\b(?:{mention})[- ]\d{{1,4}}\b"), F.lit(0))).alias("m"))
+    cited = found.select("path", "line", T.canonical(F.col("m")).alias("code"))
+    if remotes and lock is not None:
+        asked = _answered(lines.select("path", "line", F.inline("foreign")), lock)
+        cited = cited.unionByName(asked.where("NOT known").select("path", "line", F.concat("lead", "tail").alias("code")))
+    cited = cited.distinct()
     if own is None:
         return cited
     return cited.join(own.select("path", F.col("code").alias("own")), "path", "left").where("own IS NULL OR own <> code").drop("own")
 
 
-def annotations(directives: DataFrame, docs: DataFrame) -> DataFrame:
+def annotations(directives: DataFrame, docs: DataFrame, remotes: Remotes = (), lock: DataFrame | None = None) -> DataFrame:
     """One row per annotation and code it names, with what is wrong with it.
 
-    ``inactive-ok`` must name documents that exist, ``unresolved-ok`` codes that do not.
+    ``inactive-ok`` must name documents that exist, ``unresolved-ok`` codes that do not;
+    a remote's code exists unless the remote's lock lacks it.
     """
-    spec = F.concat_ws(" ", "args")
-    rows = directives.where(F.col("name").isin(RETIRED, DANGLING)).withColumn("spec", spec)
-    rows = rows.withColumn("codes", F.array_distinct(F.transform(F.regexp_extract_all("spec", F.lit(r"\b[A-Za-z]{2,10}-\d{1,4}\b"), F.lit(0)), T.canonical)))
-    bare = F.regexp_replace("spec", r"\b[A-Za-z]{2,10}-\d{1,4}\b", "").rlike(r"(?<![\w-])\d{1,4}(?![\w-])")
-    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("line", "name", "spec"))).withColumn("bare", bare)
-    each = rows.select("path", F.col("name").alias("kind"), "scope", "line", "lo", "hi", "pos", "bare", F.explode_outer("codes").alias("code"))
-    known = docs.select("code", F.lit(True).alias("known"))
-    checked = each.join(known, "code", "left").withColumn("wrong", F.col("code").isNotNull() & (F.coalesce("known", F.lit(False)) != (F.col("kind") == RETIRED)))
+    rows = directives.where(F.col("name").isin(RETIRED, DANGLING)).withColumn("spec", F.concat_ws(" ", "args"))
+    rows = rows.withColumn("pos", F.row_number().over(Window.partitionBy("path").orderBy("line", "name", "spec")))
+    foreign, local = _foreign(F.col("spec"), remotes)
+    codes = F.transform(F.regexp_extract_all("local", F.lit(r"\b[A-Za-z]{2,10}-\d{1,4}\b"), F.lit(0)), lambda x: F.struct(F.lit(None).cast("string").alias("lead"), T.canonical(x).alias("tail")))
+    bare = F.regexp_replace("local", r"\b[A-Za-z]{2,10}-\d{1,4}\b", "").rlike(r"(?<![\w-])\d{1,4}(?![\w-])")
+    rows = rows.withColumn("foreign", foreign).withColumn("local", local).withColumn("bare", bare).withColumn("codes", F.array_distinct(F.concat("foreign", codes)))
+    each = rows.select("path", F.col("name").alias("kind"), "scope", "line", "lo", "hi", "pos", "bare", F.inline_outer("codes"))
+    each = _answered(each, lock).withColumnRenamed("known", "answered").withColumn("code", F.concat(F.coalesce("lead", F.lit("")), F.col("tail")))
+    known = docs.select("code", F.lit(True).alias("here"))
+    exists = F.when(F.col("lead").isNotNull(), F.col("answered")).otherwise(F.coalesce("here", F.lit(False)))
+    checked = each.join(known, "code", "left").withColumn("wrong", F.col("code").isNotNull() & (exists != (F.col("kind") == RETIRED)))
     same = Window.partitionBy("path", "pos")
     names = F.array_join(F.array_sort(F.collect_set(F.when(F.col("wrong"), F.col("code"))).over(same)), ", ")
-    problem = (
-        F.when(F.col("code").isNull(), "names no document code")
-        .when(F.col("bare"), "has a bare number")
-        .when(names != "", F.when(F.col("kind") == RETIRED, F.concat(F.lit("names unknown document(s): "), names)).otherwise(F.concat(F.lit("names "), names, F.lit(", which does resolve here"))))
-    )
+    missing, present = F.concat(F.lit("no such document: "), names), F.concat(F.lit("not unresolved: "), names)
+    problem = F.when(F.col("code").isNull(), "without a code").when(F.col("bare"), "number without its prefix").when(names != "", F.when(F.col("kind") == RETIRED, missing).otherwise(present))
     return checked.withColumn("problem", problem).select("path", "kind", "scope", "line", "lo", "hi", "pos", "code", "problem")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scanner
@@ -34,12 +34,20 @@ def aliases(docs: DataFrame) -> DataFrame:
 def step_forward(entries: DataFrame) -> DataFrame:
     """Distinct seconds for the entries of a journal: one that collides moves on to the next free second.
 
-    Within runs of colliding seconds a running maximum of (second - rank) gives each its place;
-    a window per journal and day keeps the ordered groups small.
+    In order of (second, path), an entry's place is its rank plus the running maximum of
+    (second - rank). Ranks and maxima run within a journal's day and are carried from day
+    to day by one row each, so a run that crosses midnight goes on and no task orders more
+    than a day of entries.
     """
     day = Window.partitionBy("journal", "day").orderBy("sec", "path")
     rows = entries.withColumn("sec", F.unix_timestamp("created")).withColumn("day", F.to_date("created")).withColumn("nth", F.row_number().over(day))
-    return rows.withColumn("assigned", F.max(F.col("sec") - F.col("nth")).over(day.rowsBetween(Window.unboundedPreceding, 0)) + F.col("nth")).drop("day", "nth", "sec")
+    rows = rows.withColumn("high", F.max(F.col("sec") - F.col("nth")).over(day.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("journal").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("journal", "day").agg(F.count("*").alias("n"), F.max("high").alias("top")).withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    days = days.withColumn("carried", F.max(F.col("top") - F.col("before")).over(earlier)).select(F.col("journal").alias("j"), F.col("day").alias("d"), "before", "carried")
+    rows = rows.join(days, F.col("journal").eqNullSafe(F.col("j")) & F.col("day").eqNullSafe(F.col("d")))
+    assigned = F.greatest(F.col("high") - F.col("before"), "carried") + F.col("before") + F.col("nth")
+    return rows.withColumn("assigned", assigned).drop("day", "nth", "sec", "high", "j", "d", "before", "carried")
 
 
 def legacy_spellings(refs: DataFrame, docs: DataFrame) -> DataFrame:
@@ -49,7 +57,7 @@ def legacy_spellings(refs: DataFrame, docs: DataFrame) -> DataFrame:
     return old.join(live, "old", "left_anti").join(docs.select("code", F.explode("formerly").alias("old")), "old").select("path", "line", "old", "code")
 
 
-def resolve(refs: DataFrame, docs: DataFrame, issue_url: str, highest: int = 0) -> DataFrame:
+def resolve(refs: DataFrame, docs: DataFrame, issue_url: str, highest: int | Column = 0) -> DataFrame:
     """References with their target: a document's path, an issue's URL, or null.
 
     A low ``#N`` without a cue is ambiguous and has none; nor has a document's own code.

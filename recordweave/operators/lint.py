@@ -22,11 +22,18 @@ from . import checks, citations, identity, links
 
 @dataclass(frozen=True)
 class Record:
-    """The relations that checks read: files(path, text), documents, and journal entries (or None)."""
+    """The relations that checks read: files(path, text), documents, and, where there are any,
+    journal entries and the locks of remotes as (remote, code)."""
 
     files: DataFrame
     docs: DataFrame
     entries: DataFrame | None = None
+    lock: DataFrame | None = None
+
+
+def remote_shapes(c: Catalog) -> tuple[tuple[str, str], ...]:
+    """Of each remote, longest prefix first: its lead (prefix and delimiter) and the pattern of its codes."""
+    return tuple((r.prefix + r.delim, r.uid or r"[A-Z]{2,10}-\d{1,4}") for r in c.remote_order())
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -44,12 +51,12 @@ def wikilinks(files: DataFrame, docs: DataFrame, remotes: DataFrame | None = Non
     return rows.select("path", "line", "inner", "label", target.alias("target"))
 
 
-def bare_references(files: DataFrame, docs: DataFrame, c: Catalog) -> DataFrame:
+def bare_references(files: DataFrame, docs: DataFrame, c: Catalog, principle: str = "DP") -> DataFrame:
     """References in prose that have a target and are not links yet."""
     schemes = tuple(s.prefix for s in c.schemes)
-    remotes = tuple((r.prefix + r.delim, r.uid or r"[A-Z]{2,10}-\d{1,4}") for r in c.remote_order())
-    refs = scanner.scan_references(files, schemes, remotes).where("kind <> 'remote'")
-    highest = docs.where("scheme = 'DP'").agg(F.coalesce(F.max("number"), F.lit(0)).alias("n")).first().n
+    refs = scanner.scan_references(files, schemes, remote_shapes(c)).where("kind <> 'remote'")
+    # a number that a principle has is ambiguous; the plan asks for it, no job runs here
+    highest = docs.where(F.col("scheme") == principle).agg(F.coalesce(F.max("number"), F.lit(0))).scalar()
     return identity.resolve(refs, docs, c.issue_url, highest).where("target IS NOT NULL").select("path", "line", "text", "target")
 
 
@@ -93,9 +100,12 @@ def findings(r: Record, c: Catalog, existing: DataFrame | None = None) -> DataFr
     numbered = r.docs.where("number IS NOT NULL")
     directives = scanner.scan_directives(r.files)
     unlinted = directives.where("name = 'unlinted' AND scope = 'file'").select("path").distinct()
-    cites = citations.extract(r.files.join(unlinted, "path", "left_anti"), tuple(s.prefix for s in c.schemes), r.docs)
-    annots = citations.annotations(directives, numbered)
-    found = citations.classify(cites, numbered, annots)
+    remotes, leads = remote_shapes(c), {r.prefix: r.prefix + r.delim for r in c.remotes}
+    lock = r.lock and r.lock.replace(leads, subset=["remote"]).withColumnRenamed("remote", "lead")
+    cites = citations.extract(r.files.join(unlinted, "path", "left_anti"), tuple(s.prefix for s in c.schemes), r.docs, remotes, lock)
+    annots = citations.annotations(directives, numbered, remotes, lock)
+    sound = annots.where("problem IS NULL")  # a malformed annotation excuses nothing, and is not stale besides
+    found = citations.classify(cites, numbered, sound)
     n = lambda k: F.col(k).cast("string")
     named = lambda df, kind, message: df.select(F.lit(kind).alias("class"), message.alias("message"))
     counted = F.concat("code", F.lit(": "), n("loud"), F.lit(" unacknowledged in "), n("files"), F.lit(" files"))
@@ -104,7 +114,7 @@ def findings(r: Record, c: Catalog, existing: DataFrame | None = None) -> DataFr
         named(citations.flagged(found, "dangling"), "unresolved-codes", counted),
         named(unlinted, "unlinted-files", F.col("path")),
         named(checks.uniform_status(r.docs), "inert-status", F.concat("scheme", F.lit(": all "), n("n"), F.lit(" are "), "status")),
-        named(citations.stale_annotations(annots, found, numbered), "stale-directives", F.concat("path", F.lit(": "), "kind", F.lit(" "), "code", F.lit(" — "), "reason")),
+        named(citations.stale_annotations(sound, found, numbered), "stale-directives", F.concat("path", F.lit(": "), "kind", F.lit(" "), "code", F.lit(" — "), "reason")),
         named(annots.where("problem IS NOT NULL").select("path", "line", "problem").distinct(), "stale-directives", F.concat("path", F.lit(":"), n("line"), F.lit(" "), "problem")),
         named(citations.pending(numbered, found), "pending-documents", F.concat("code", F.lit(" ("), "status_word", F.lit("): "), n("cites"), F.lit(" citations"))),
     ]

@@ -209,8 +209,8 @@ def journal_contents(spark: SparkSession, d: str) -> DataFrame:
     return pages.select("journal", "book", F.split("text", "\n\n", 2)[0].alias("toc"))
 
 
-@_query("journal_seconds", f"""SELECT journal, path, created, title, max(sec - nth) OVER (PARTITION BY journal, CAST(created AS DATE) ORDER BY sec, path ROWS UNBOUNDED PRECEDING) + nth AS assigned FROM
-(SELECT *, CAST(epoch(created) AS BIGINT) AS sec, row_number() OVER (PARTITION BY journal, CAST(created AS DATE) ORDER BY epoch(created), path) AS nth FROM ({_ENTRIES}))""", with_=False)
+@_query("journal_seconds", f"""SELECT journal, path, created, title, max(sec - nth) OVER (PARTITION BY journal ORDER BY sec, path ROWS UNBOUNDED PRECEDING) + nth AS assigned FROM
+(SELECT *, CAST(epoch(created) AS BIGINT) AS sec, row_number() OVER (PARTITION BY journal ORDER BY epoch(created), path) AS nth FROM ({_ENTRIES}))""", with_=False)
 def journal_seconds(spark: SparkSession, d: str) -> DataFrame:
     return identity.step_forward(derived.entries(spark, d).drop("body"))
 

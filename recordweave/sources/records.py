@@ -22,9 +22,10 @@ HISTORY = "array<struct<version: int, date: string, note: string>>"
 def files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """(path, text) of every file under ``root``; paths are relative to it."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(root, wholetext=True)
-    base = F.lit(root.rstrip("/").removeprefix("file:").rstrip("/") + "/")
+    base = root.rstrip("/").removeprefix("file:").rstrip("/") + "/"
     path = F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
-    return rows.select(F.element_at(F.split(path, base, 2), -1).alias("path"), F.col("value").alias("text"))
+    # what follows the root, by position: a root may hold any character
+    return rows.select(F.substring(path, F.locate(base, path) + F.lit(len(base)), F.length(path)).alias("path"), F.col("value").alias("text"))
 
 
 def is_historical(path, listed: tuple[str, ...], folders: tuple[str, ...]):

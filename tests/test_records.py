@@ -68,7 +68,7 @@ def test_annotation_problems(spark):
     d = spark.createDataFrame([("p", "inactive-ok", "line", ["ADR-001"], "", 1, 1, 2), ("p", "inactive-ok", "line", ["ADR-009"], "", 2, 2, 3), ("p", "unresolved-ok", "line", ["adr-1"], "", 3, 3, 4), ("p", "inactive-ok", "line", ["x"], "", 4, 4, 5), ("p", "inactive-ok", "line", ["ADR-001", "12"], "", 5, 5, 6)], "path string, name string, scope string, args array<string>, reason string, line int, lo int, hi int")
     known = spark.createDataFrame([("ADR-001", True)], "code string, active boolean")
     got = {r.line: r.problem for r in citations.annotations(d, known).collect()}
-    assert got == {1: None, 2: "names unknown document(s): ADR-009", 3: "names ADR-001, which does resolve here", 4: "names no document code", 5: "has a bare number"}
+    assert got == {1: None, 2: "no such document: ADR-009", 3: "not unresolved: ADR-001", 4: "without a code", 5: "number without its prefix"}
 
 
 def test_checks(docs):
@@ -148,3 +148,33 @@ def test_inbox(spark, tmp_path):
     (tmp_path / "in/3.md").write_text("three")
     run()
     assert {r.body for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"one", "three"} and not list((tmp_path / "in").glob("*.md"))
+
+
+def test_codes_of_other_projects(spark):
+    files = spark.createDataFrame([("a.md", "see UP-ADR-032 here\nand ADR-002, UP-ADR-001"), ("b.md", "UP-ADR-040"), ("c.md", "formerly: [ADR-002]"), ("d.md", "formerly:\n- ADR-002\n- ADR-001\nADR-002")], "path string, text string")
+    lock = spark.createDataFrame([("UP-", "ADR-001"), ("UP-", "ADR-032")], "lead string, code string")
+    remotes = (("UP-", r"[A-Z]{2,10}-\d{1,4}"),)
+    local = [("a.md", 2, "ADR-002"), ("c.md", 1, "ADR-002"), ("d.md", 4, "ADR-002")]
+    rows = lambda df: sorted(tuple(r) for r in df.select("path", "line", "code").collect())
+    assert rows(citations.extract(files, ("ADR",), remotes=remotes)) == local
+    assert rows(citations.extract(files, ("ADR",), remotes=remotes, lock=lock)) == sorted([*local, ("b.md", 1, "UP-ADR-040")])
+    docs = spark.createDataFrame([("ADR-032", True)], "code string, active boolean")
+    d = spark.createDataFrame([("a.md", "unresolved-ok", "line", ["UP-ADR-040"], 1), ("a.md", "unresolved-ok", "line", ["UP-ADR-032"], 2), ("a.md", "inactive-ok", "line", ["UP-ADR-032"], 3)], "path string, name string, scope string, args array<string>, line int")
+    d = d.withColumn("lo", d.line).withColumn("hi", d.line + 1)
+    got = {r.line: (r.code, r.problem) for r in citations.annotations(d, docs, remotes, lock).collect()}
+    assert got == {1: ("UP-ADR-040", None), 2: ("UP-ADR-032", "not unresolved: UP-ADR-032"), 3: ("UP-ADR-032", None)}
+
+
+def test_steps_go_on_after_midnight(spark):
+    rows = [("j", "a", "2024-01-01 23:59:59"), ("j", "b", "2024-01-01 23:59:59"), ("j", "c", "2024-01-02 00:00:00"), ("j", "d", "2024-01-02 00:00:05"), ("k", "e", "2024-01-01 23:59:59")]
+    entries = spark.createDataFrame(rows, "journal string, path string, created string").selectExpr("journal", "path", "cast(created as timestamp) as created")
+    got = {r.path: r.assigned for r in identity.step_forward(entries).collect()}
+    first = got["a"]
+    assert got == {"a": first, "b": first + 1, "c": first + 2, "d": first + 6, "e": first}
+
+
+def test_roots_hold_any_character(spark, tmp_path):
+    root = tmp_path / "a+b (c)"
+    (root / "x").mkdir(parents=True)
+    (root / "x" / "n 1+2.md").write_text("t")
+    assert [(r.path, r.text) for r in records.files(spark, str(root)).collect()] == [("x/n 1+2.md", "t")]
