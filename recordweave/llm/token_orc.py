@@ -6,7 +6,8 @@ position inside its own file; global positions come from one sum per file, so
 stripes are read in parallel and in any order.
 
 Null text is empty, rows with equal ids are all kept (ordered by text), a null id
-sorts first, an empty table gives no rows, other columns are ignored.
+sorts first, rows that tie in id and text are alike, an empty table gives no rows,
+a very long text is one row of its stripe, other columns are ignored.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from . import bpe
 from .common import shared_dir, small_batches, table
 
 STRIPE_BYTES, ROW_STRIDE = 16 << 20, 1_000
-#: Ids in one Arrow batch that goes back to the JVM, about.
-BATCH_IDS = 1 << 20
 
 _SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
@@ -49,8 +48,11 @@ def _encode(path: str | None, end_id: int):
     return run
 
 
-def write(docs: DataFrame, path: str, end_id: int, tokenizer: str | None = None, partitions: int | None = None) -> None:
-    """Encode ``docs(doc_id, text)`` and write the id files under ``path``, ascending by doc_id."""
+def write(docs: DataFrame, path: str, end_id: int, tokenizer: str | None = None, partitions: int | None = None, stripe_bytes: int = STRIPE_BYTES, row_stride: int = ROW_STRIDE) -> None:
+    """Encode ``docs(doc_id, text)`` and write the id files under ``path``, ascending by doc_id.
+
+    A stripe ends at ``stripe_bytes``; its row index and Bloom filters have an entry for every ``row_stride`` rows.
+    """
     small_batches(docs.sparkSession)
     parts = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
@@ -58,8 +60,8 @@ def write(docs: DataFrame, path: str, end_id: int, tokenizer: str | None = None,
         ranged.mapInArrow(_encode(tokenizer, end_id), _SCHEMA)
         .write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
-        .option("orc.row.index.stride", str(ROW_STRIDE))
-        .option("orc.stripe.size", str(STRIPE_BYTES))
+        .option("orc.row.index.stride", str(row_stride))
+        .option("orc.stripe.size", str(stripe_bytes))
         .option("compression", "snappy")
         .orc(path)
     )
