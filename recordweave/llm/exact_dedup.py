@@ -2,11 +2,14 @@
 
 A stream reads the table; its aggregation by digest keeps, in RocksDB state on disk
 (checkpointed to the shared folder), the digest, the stable id (the largest), the
-number of rows and a content locator (length, and file of a kept row). No
+number of rows and a content locator (length and file of the row with that id). No
 watermark: state never expires, and a later run with the same folder goes on from
 it. Hits - rows of a digest seen more than once - are then compared byte by byte
-with the row that stays; rows whose bytes differ are grouped by the bytes.
-Everything runs in the JVM.
+with the row that stays; rows whose bytes differ are grouped by the bytes. Where the
+row that stays is in an earlier batch and not among the given rows, the digest decides.
+Everything runs in the JVM. A hot digest's rows stay where they are when they learn
+what the state says, and its bytes are compared in parts, each with its own copy of
+the text that stays.
 
 Null text equals empty text. Rows with equal text and equal id are one document for
 `keep_id`, both are counted in `group_size` and both are kept when theirs is the
@@ -18,7 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, shared_dir, table
+from .common import cut, shared_dir, spread_join, table
+
+#: Rows of one digest whose bytes are compared in one place.
+PART_ROWS = 1000
 
 _STATE_CONF = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
@@ -53,7 +59,8 @@ def update_state(spark: SparkSession, source: str, folder: str) -> DataFrame:
                 F.struct(n_bytes.alias("n_bytes"), F.col("_metadata.file_path").alias("file")).alias("locator"),
             )
             .groupBy("digest")
-            .agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.max("locator").alias("locator"))
+            .agg(F.max(F.struct("doc_id", "locator")).alias("kept"), F.count("*").alias("group_size"))
+            .select("digest", F.col("kept.doc_id").alias("keep_id"), "group_size", F.col("kept.locator").alias("locator"))
         )
         changes = f"{folder}/changes"
 
@@ -78,14 +85,18 @@ def deduplicate(spark: SparkSession, docs: DataFrame, state: DataFrame) -> DataF
     extra = [c for c in docs.columns if c == "row"]
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"), *extra)
-    many = state.where("group_size > 1").select(F.col("digest").alias("text_sha256"), "keep_id", "group_size")
-    alone = rows.select("doc_id", "text_sha256", *extra).join(many, "text_sha256", "left_anti")
+    many = state.where("group_size > 1").select(F.col("digest").alias("text_sha256"), "keep_id", "group_size", F.col("group_size").alias("n"))
+    total = docs.count()
+    alone = spread_join(rows.select("doc_id", "text_sha256", *extra), many, "text_sha256", "n", total, "left").where("group_size IS NULL")
     alone = alone.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", *extra)
     # rows whose digest was seen before, with their bytes: written once, as what follows reads them several times
-    hits = cut(rows.join(many, "text_sha256"), f"{shared_dir(spark, 'hits')}")
-    # the bytes of the rows that stay, one for each digest; a hit must equal them
-    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("text").alias("stay_text"))
-    compared = hits.join(stays, "text_sha256", "left").withColumn("same", F.col("text").eqNullSafe(F.col("stay_text")))
+    hits = cut(spread_join(rows, many, "text_sha256", "n", total), f"{shared_dir(spark, 'hits')}")
+    # the bytes of the rows that stay, one for each digest and part of its rows; a hit must equal them
+    parts = F.ceil(F.col("group_size") / PART_ROWS)
+    stays = hits.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("text_sha256").agg(F.min("text").alias("stay_text"), F.max("group_size").alias("group_size"))
+    stays = stays.select("text_sha256", "stay_text", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("part"))
+    dealt = hits.withColumn("part", F.pmod(F.xxhash64("doc_id"), parts))
+    compared = dealt.join(stays, ["text_sha256", "part"], "left").drop("part").withColumn("same", F.col("stay_text").isNull() | (F.col("text") == F.col("stay_text")))
     same = compared.where("same").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", *extra)
     out = alone.unionByName(same)
     differ = compared.where("not same")
