@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, ngrams, remove_dir, row_key, shared_dir, small_batches, spread_join, table, text_bytes
+from .common import Words, blocks, cut, ngrams, release_shuffles, remove_dir, row_key, shared_dir, small_batches, spread_join, table, text_bytes
 from .components import components
 
 K = 5
@@ -442,6 +442,7 @@ def join(docs: DataFrame, k: int = K) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     folder = shared_dir(spark, "ngram-join")
     sig = signatures(docs, k, f"{folder}/signatures")
+    release_shuffles(spark)  # the texts and token runs, by far the largest shuffles, are of no more use
     labels = _labels(sig, folder)
     classes = sig.where("x IS NOT NULL").groupBy("x").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
     # sets without a link are a component of their own, named by their digest
