@@ -8,7 +8,7 @@ token that only one document holds cannot be it, so most documents are done afte
 count and only the rest is searched.
 
 Counting is two packed shuffles: chunks of documents send their distinct tokens in
-sorted runs of six bytes, and get back those that occur elsewhere. A token's traffic
+sorted runs of gaps of four bytes, and get back those that occur elsewhere. A token's traffic
 grows with the chunks, not with the documents that hold it.
 
 The search is the T-occurrence problem. Candidates are grouped by centre, in groups of
@@ -80,15 +80,24 @@ def shingle_sets(column: pa.Array, k: int = K) -> Iterator[np.ndarray]:
 
 
 # ---- counting: packed runs of tokens ----
-def _pack(tokens: np.ndarray) -> bytes:
-    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
-
-
-def _unpack(raw: list[bytes]) -> np.ndarray:
-    flat = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
-    out = np.zeros((len(flat), 8), np.uint8)
-    out[:, :6] = flat
-    return out.view("<u8").ravel().astype(np.uint64)
+def _pack(tokens: np.ndarray) -> tuple[bytes, bytes]:
+    """A sorted run as gaps of four bytes, and (place, upper part) of the few gaps that need more."""
+    gaps = np.diff(tokens, prepend=np.uint64(0))
+    wide = np.flatnonzero(gaps >> np.uint64(32))
+    return gaps.astype("<u4").tobytes(), (wide.astype("<u8") << np.uint64(16) | gaps[wide] >> np.uint64(32)).astype("<u8").tobytes()
+
+
+def _unpack(low: list[bytes], wide: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of runs, one after the other, and how many each run has."""
+    size = np.array([len(x) // 4 for x in low], np.int64)
+    first = np.cumsum(size) - size
+    gaps = np.frombuffer(b"".join(low), "<u4").astype(np.uint64)
+    more = np.frombuffer(b"".join(wide), "<u8")
+    at = np.repeat(first, [len(x) // 8 for x in wide]) + (more >> np.uint64(16)).astype(np.int64)
+    gaps[at] += (more & np.uint64(0xFFFF)) << np.uint64(32)
+    # one running sum, less what it was before each run
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(gaps)])
+    return sums[1:] - np.repeat(sums[first], size), size
 
 
 def _runs(sorted_: np.ndarray) -> np.ndarray:
@@ -110,20 +119,21 @@ def _tokens(k: int, buckets: int):
         at = _runs(flat)
         tokens, n = flat[at], np.minimum(255, np.diff(np.append(at, len(flat)))).astype(np.uint8)
         bounds = np.searchsorted(tokens, [(i << 48) // buckets + ((i << 48) % buckets > 0) for i in range(buckets + 1)])
-        out = [(i, _pack(tokens[lo:hi]), n[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if hi > lo]
+        out = [(i, *_pack(tokens[lo:hi]), n[lo:hi].tobytes()) for i, (lo, hi) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)) if hi > lo]
         number = chunk.column("chunk")[0].as_py() if chunk.num_rows else 0
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([number] * len(out), pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], names=["b", "chunk", "t", "n"])
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([number] * len(out), pa.int32()), *(pa.array([x[i] for x in out], pa.binary()) for i in (1, 2, 3))], names=["b", "chunk", "t", "w", "n"])
 
     return run
 
 
 def _count(rows: pa.Table) -> pa.Table:
     """For each chunk of a bucket: its tokens that two documents or more hold, and their counts on the grid."""
-    raw, n = rows.column("t").to_pylist(), np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
-    tokens, owner = _unpack(raw), np.repeat(np.arange(len(raw)), [len(x) // 6 for x in raw])
+    n = np.frombuffer(b"".join(rows.column("n").to_pylist()), np.uint8)
+    tokens, lengths = _unpack(rows.column("t").to_pylist(), rows.column("w").to_pylist())
+    owner = np.repeat(np.arange(len(lengths)), lengths)
     again = np.flatnonzero(n > 1)  # tokens that one chunk holds several times
     more, extra = tokens[again], n[again].astype(np.int64) - 1
-    if len(raw) <= 1 << 16:  # token and owner fit one number, which sorts fastest
+    if len(lengths) <= 1 << 16:  # token and owner fit one number, which sorts fastest
         both = np.sort(tokens << np.uint64(16) | owner.astype(np.uint64))
         tokens, owner = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.uint16)
     else:
@@ -137,11 +147,12 @@ def _count(rows: pa.Table) -> pa.Table:
     tokens, owner, rank = tokens[keep], owner[keep], np.repeat(_grid(total), size)[keep]
     order = np.argsort(owner, kind="stable")
     tokens, owner, rank = tokens[order], owner[order], rank[order]
-    bounds = np.searchsorted(owner, np.arange(len(raw) + 1)).tolist()
-    some = [i for i in range(len(raw)) if bounds[i + 1] > bounds[i]]
+    bounds = np.searchsorted(owner, np.arange(len(lengths) + 1)).tolist()
+    some = [i for i in range(len(lengths)) if bounds[i + 1] > bounds[i]]
+    packed = [_pack(tokens[bounds[i] : bounds[i + 1]]) for i in some]
     return pa.table(
-        [rows.column("chunk").combine_chunks().take(pa.array(some, pa.int64())), pa.array([_pack(tokens[bounds[i] : bounds[i + 1]]) for i in some], pa.binary()), pa.array([rank[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())],
-        names=["chunk", "t", "r"],
+        [rows.column("chunk").combine_chunks().take(pa.array(some, pa.int64())), *(pa.array([x[i] for x in packed], pa.binary()) for i in (0, 1)), pa.array([rank[bounds[i] : bounds[i + 1]].tobytes() for i in some], pa.binary())],
+        names=["chunk", "t", "w", "r"],
     )
 
 
@@ -150,7 +161,7 @@ _SIGNED = "doc_id long, k long, n long, x binary, shared int, prefix array<long>
 
 def _signatures(k: int):
     def run(chunk: pa.Table, counted: pa.Table) -> pa.Table:
-        known, rank = _unpack(counted.column("t").to_pylist()), np.frombuffer(b"".join(counted.column("r").to_pylist()), np.uint8)
+        known, rank = _unpack(counted.column("t").to_pylist(), counted.column("w").to_pylist())[0], np.frombuffer(b"".join(counted.column("r").to_pylist()), np.uint8)
         order = np.argsort(known)
         known, rank = np.append(known[order], np.uint64(1 << 63)), np.append(rank[order], 0)
         sets = list(shingle_sets(chunk.column("text"), k))
@@ -187,8 +198,8 @@ def signatures(docs: DataFrame, k: int, path: str) -> DataFrame:
     chunks, tasks = math.ceil(size / CHUNK_BYTES) or 1, max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
     keyed = docs.select("doc_id", "text", row_key().alias("k")).withColumn("chunk", F.pmod(F.xxhash64("k"), F.lit(chunks)).cast("int")).repartition(tasks, "chunk")
     buckets = max(tasks, math.ceil(size / BUCKET_BYTES))
-    runs = keyed.groupBy("chunk").applyInArrow(_tokens(k, buckets), "b int, chunk int, t binary, n binary")
-    counted = runs.groupBy("b").applyInArrow(_count, "chunk int, t binary, r binary")
+    runs = keyed.groupBy("chunk").applyInArrow(_tokens(k, buckets), "b int, chunk int, t binary, w binary, n binary")
+    counted = runs.groupBy("b").applyInArrow(_count, "chunk int, t binary, w binary, r binary")
     return cut(keyed.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(_signatures(k), _SIGNED), path)
 
 
