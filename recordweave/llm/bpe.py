@@ -26,6 +26,8 @@ _CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
 CACHE_ENTRIES, TABLE_BITS = 1_200_000, 21
 #: Code points up to which a pre-token is known by its hashes.
 LONGEST = 64
+#: Code points that are hashed at once; a longer pre-token is a block of its own.
+HASH_BLOCK = 1 << 16
 
 #: Characters whose class is the same here and in the library: superscripts, fractions
 #: and the four separator controls are not among them.
@@ -137,18 +139,34 @@ class Encoder:
         return out
 
     def _hashes(self, points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-        """Two hashes of each span: differences of running sums, shifted back to the span's start."""
-        if not self.powers or len(self.powers[0][0]) <= len(points):
-            size = max(1 << 20, 2 * len(points))
-            back = [np.uint64(pow(int(b), -1, 1 << 64)) for b in _BASES]
-            self.powers = [(np.cumprod(np.full(size, b)), np.cumprod(np.full(size, i))) for b, i in zip(_BASES, back, strict=True)]
-        out, sums = [], np.zeros(len(points) + 1, np.uint64)
-        for (power, back), chars in zip(self.powers, _CHARS, strict=True):
-            np.cumsum(chars[points] * power[: len(points)], out=sums[1:])
-            out.append(_mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64)))
+        """Two hashes of each span: differences of running sums, shifted back to the span's start.
+
+        The sums run over blocks of spans that follow each other, so what is kept does not grow with a text.
+        """
+        out = [np.zeros(len(start), np.uint64) for _ in _BASES]
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + HASH_BLOCK, "right")))
+            first = start[lo]
+            block, a, b = points[first : end[hi - 1]], start[lo:hi] - first, end[lo:hi] - first
+            sums = np.zeros(len(block) + 1, np.uint64)
+            for found, (power, back), chars in zip(out, self._powers(len(block)), _CHARS, strict=True):
+                np.cumsum(chars[block] * power[: len(block)], out=sums[1:])
+                found[lo:hi] = _mix((sums[b] - sums[a]) * back[a] + (b - a).astype(np.uint64))
+            lo = hi
         out[0][out[0] == 0] = 1  # 0 marks a free row
         return out
 
+    def _powers(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """At least n powers of each base and of its inverse; those of one very long span are not kept."""
+        if not self.powers:
+            self.powers = self._raised(HASH_BLOCK)
+        return self.powers if n <= HASH_BLOCK else self._raised(n)
+
+    @staticmethod
+    def _raised(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        return [(np.cumprod(np.full(n, b)), np.cumprod(np.full(n, np.uint64(pow(int(b), -1, 1 << 64))))) for b in _BASES]
+
     def _starts(self, points: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Where pre-tokens begin; ``first`` are the starts of texts that are not empty."""
         n = len(points)

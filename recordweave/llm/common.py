@@ -35,11 +35,11 @@ _POWERS: list[np.ndarray] = [np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """At least n powers of the hash's base, from the first, and of its inverse, from the zeroth."""
-    if n > 4 * BLOCK_BYTES:  # one very long text: not kept
+    if n > 2 * BLOCK_BYTES:  # one very long text: not kept
         power = np.cumprod(np.full(n, _P))
         return power, np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, _P_BACK)]))
     if n > len(_POWERS[0]):
-        _POWERS[:] = [np.cumprod(np.full(4 * BLOCK_BYTES, _P)), np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(4 * BLOCK_BYTES - 1, _P_BACK)]))]
+        _POWERS[:] = [np.cumprod(np.full(2 * BLOCK_BYTES, _P)), np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * BLOCK_BYTES - 1, _P_BACK)]))]
     return _POWERS[0], _POWERS[1]
 
 
