@@ -69,8 +69,9 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fragments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's whole text; a turn without one is a stub."""
     c = table(spark, sf_dir, "conversations")
-    body = F.when(F.col("turn") % 5 == 4, F.lit(" <!-- nothing\nto say --> ")).otherwise(F.substring(F.coalesce("text", F.lit("")), 1, 60))
+    body = F.coalesce("text", F.lit(" <!-- nothing\nto say --> "))
     return c.select(F.concat(F.lit("inbox/"), F.col("conv_id").cast("string")).alias("dir"), F.format_string("%08d", F.col("turn")).alias("path"), F.when(F.col("turn") % 3 != 2, F.col("turn") * 10).alias("committed_at"), body.alias("body"))
 
 

@@ -220,8 +220,8 @@ def journal_paths(spark: SparkSession, d: str) -> DataFrame:
     return derived.entries(spark, d).select("path", T.journal_path(F.col("created")).alias("filed"))
 
 
-@_query("collected_fragments", """SELECT 'inbox/' || conv_id AS dir, count(*) AS n, string_agg(trim(substr(coalesce(text, ''), 1, 60)), chr(10) || chr(10) ORDER BY CASE WHEN turn % 3 <> 2 THEN turn * 10 END NULLS LAST, printf('%08d', turn)) AS block
-FROM conversations WHERE turn % 5 <> 4 AND trim(substr(coalesce(text, ''), 1, 60)) <> '' GROUP BY 1""", with_=False)
+@_query("collected_fragments", """SELECT 'inbox/' || conv_id AS dir, count(*) AS n, string_agg(trim(text), chr(10) || chr(10) ORDER BY CASE WHEN turn % 3 <> 2 THEN turn * 10 END NULLS LAST, printf('%08d', turn)) AS block
+FROM conversations WHERE regexp_replace(regexp_replace(coalesce(text, ''), '<!--.*?-->', '', 'gs'), '\\s', '', 'g') <> '' GROUP BY 1""", with_=False)
 def collected_fragments(spark: SparkSession, d: str) -> DataFrame:
     return views.collected(derived.fragments(spark, d))
 
@@ -240,9 +240,9 @@ def file_link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("broken_targets", f"""SELECT path, 5 AS line, target, resolved FROM (SELECT 'notes/' || doc_id || '.md' AS path, unnest([{{'target': '../part/' || ({_N} % 300) || '.md#top', 'resolved': 'part/' || ({_N} % 300) || '.md'}}, {{'target': './a/../p' || ({_N} % 9) || '.md', 'resolved': 'notes/p' || ({_N} % 9) || '.md'}}], recursive := true) FROM documents)
-WHERE resolved NOT IN (SELECT 'part/' || p_partkey || '.md' FROM part WHERE p_partkey % 2 = 0)""", with_=False)
+WHERE resolved NOT IN (SELECT 'part/' || p_size || '.md' FROM part)""", with_=False)
 def broken_targets(spark: SparkSession, d: str) -> DataFrame:
-    here = derived.table(spark, d, "part").where("p_partkey % 2 = 0").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
+    here = derived.table(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_size").cast("string"), F.lit(".md")).alias("path")).distinct()
     files = derived.files(spark, d)
     return links.broken(links.targets(files), files.select("path", F.lit("notes").alias("base")), here)
 
@@ -253,12 +253,14 @@ def page_targets(spark: SparkSession, d: str) -> DataFrame:
     return links.html_targets(derived.table(spark, d, "pages")).groupBy("kind").agg(F.count("*").alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@_query("view_staleness", """, r AS (SELECT path, title AS text FROM docs WHERE number % 5 <> 0), k AS (SELECT path, CASE WHEN number % 7 = 0 THEN upper(title) ELSE title END AS text FROM docs WHERE number % 3 <> 0)
-SELECT path, state FROM (SELECT coalesce(r.path, k.path) AS path, CASE WHEN r.path IS NULL THEN 'orphaned' WHEN k.path IS NULL THEN 'missing' WHEN r.text <> k.text THEN 'stale' END AS state FROM r FULL JOIN k ON r.path = k.path) WHERE state IS NOT NULL""")
+@_query("view_staleness", """, k AS (SELECT 'docs/' || d.influence || '.md' AS path, coalesce(substr(e.heading, length(e.code) + 3), '') AS text FROM docs d LEFT JOIN docs e ON e.code = d.influence)
+SELECT path, state FROM (SELECT coalesce(r.path, k.path) AS path, CASE WHEN r.path IS NULL THEN 'orphaned' WHEN k.path IS NULL THEN 'missing' WHEN r.title <> k.text THEN 'stale' END AS state FROM docs r FULL JOIN k ON r.path = k.path) WHERE state IS NOT NULL""")
 def view_staleness(spark: SparkSession, d: str) -> DataFrame:
+    """On disk is a page for every influence, with the heading's text: each scheme's first document has none, its last an orphan."""
     docs = derived.docs(spark, d)
-    have = docs.where("number % 3 <> 0").select("path", F.when(F.col("number") % 7 == 0, F.upper("title")).otherwise(F.col("title")).alias("text"))
-    return views.staleness(docs.where("number % 5 <> 0").select("path", F.col("title").alias("text")), have)
+    headings = docs.select(F.col("code").alias("influence"), F.substr("heading", F.length("code") + 3).alias("text"))
+    have = views.backlinks(docs).join(headings, "influence", "left").select(F.concat(F.lit("docs/"), "influence", F.lit(".md")).alias("path"), F.coalesce("text", F.lit("")).alias("text"))
+    return views.staleness(docs.select("path", F.col("title").alias("text")), have)
 
 
 @_query("finding_classes", f"""SELECT class, n FROM (SELECT 'retired-citations' AS class, count(*) AS n FROM ({_LOUD.format('retired')}) UNION ALL SELECT 'unresolved-codes', count(*) FROM ({_LOUD.format('dangling')})
@@ -268,13 +270,14 @@ def finding_classes(spark: SparkSession, d: str) -> DataFrame:
     return views.findings({"retired-citations": citations.flagged(c), "unresolved-codes": citations.flagged(c, "dangling"), "pending-documents": derived.docs(spark, d).where(F.col("status_word").isin("Proposed", "Deferred"))})
 
 
-@_query("remote_urls", """SELECT prefix, tail, CASE prefix WHEN 'UP' THEN CASE WHEN k % 3 = 0 THEN 'https://github.com/o/r/blob/main/docs/' || lower(tail) || '-x.md' ELSE '' END WHEN 'TK' THEN 'https://t.test/' || tail || '/' || k ELSE 'https://github.com/a/b/blob/main/' || tail || '.md' END AS link
+@_query("remote_urls", """SELECT prefix, tail, CASE prefix WHEN 'UP' THEN CASE WHEN k % 2 = 0 THEN 'https://github.com/o/r/blob/main/docs/' || lower(tail) || '-x.md' ELSE '' END WHEN 'TK' THEN 'https://t.test/' || tail || '/' || k ELSE 'https://github.com/a/b/blob/main/' || tail || '.md' END AS link
 FROM (SELECT s_suppkey AS k, ['UP', 'TK', 'NO'][CAST(s_suppkey % 3 AS INT) + 1] AS prefix, 'ADR-' || s_suppkey AS tail FROM supplier)""", with_=False)
 def remote_urls(spark: SparkSession, d: str) -> DataFrame:
     s = derived.table(spark, d, "supplier")
     tail = F.concat(F.lit("ADR-"), F.col("s_suppkey").cast("string"))
     refs = s.select(F.element_at(F.array(F.lit("UP"), F.lit("TK"), F.lit("NO")), (F.col("s_suppkey") % 3 + 1).cast("int")).alias("prefix"), tail.alias("tail"))
-    lock = s.where("s_suppkey % 3 = 0").select(F.lit("UP").alias("remote"), tail.alias("code"), F.concat(F.lower(tail), F.lit("-x.md")).alias("filename"))
+    even = F.concat(F.lit("ADR-"), (F.col("s_suppkey") * 2).cast("string"))
+    lock = s.select(F.lit("UP").alias("remote"), even.alias("code"), F.concat(F.lower(even), F.lit("-x.md")).alias("filename"))
     remotes = spark.createDataFrame([("UP", "o/r", "main", "docs", "", ""), ("TK", "", "main", "", "https://t.test/{code}/{number}", ""), ("NO", "a/b", "main", "", "", "")], "prefix string, repo string, ref string, dir string, url string, uid string")
     return links.remote_urls(refs, remotes, lock)
 
