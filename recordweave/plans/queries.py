@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import TagGroup
+from ..functions import paths as P
 from ..functions import scanner
 from ..functions import text as T
-from ..operators import checks, citations, identity, links, views
+from ..operators import checks, citations, identity, links, pages, remotes, reports, resolution, views
 from . import derived
 
 AS_OF, STALE_DAYS = "2024-06-30", 365
@@ -295,3 +296,182 @@ def file_directives(spark: SparkSession, d: str) -> DataFrame:
 @_query("swept_files")
 def swept_files(spark: SparkSession, d: str) -> DataFrame:
     return identity.sweep(derived.files(spark, d), {f"ADR-{n:03d}": f"DOC-{n:03d}" for n in range(600)})
+
+
+# ---- rendered pages as ordered lines, references resolved, reports, plans ----
+_SCHEMES = ("ADR", "RFC", "SPEC")
+_MEANINGS = [("Active", "in force", "it holds"), ("Proposed", "open", ""), ("Rejected", None, "was declined | for good")]
+_DECLARED = [("brand#12", "Brand twelve", "made | here"), ("small brushed brass", None, None)]
+
+
+def _views(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(s, f"views/{s.lower()}", f"{s} documents") for s in _SCHEMES], "scheme string, view string, title string")
+
+
+_V = "(SELECT unnest(['ADR', 'RFC', 'SPEC']) AS scheme)"
+_README = "'views/' || lower(scheme) || '/README.md'"
+_TITLED = "array_to_string(list_transform(regexp_extract_all(tag, '[a-z]+|[^a-z]+'), lambda x: upper(x[1]) || x[2:]), '')"
+
+
+@_query("scheme_pages", f""", t AS (SELECT scheme, number, code, unnest(tags) AS tag FROM docs),
+g AS (SELECT *, CASE tag WHEN 'brand#12' THEN 0 WHEN 'small brushed brass' THEN 1 ELSE 2147483647 END AS rank FROM t)
+SELECT {_README} AS path, 0 AS block, 0 AS number, '' AS code, '# ' || scheme || ' documents' AS line FROM {_V}
+UNION ALL SELECT {_README}, 1, n, '', line FROM {_V}, (VALUES (0, '| `Active` | in force | It holds |'), (1, '| `Proposed` | open |  |'), (2, '| `Rejected` |  | Was declined | for good |')) m(n, line)
+UNION ALL SELECT {_README}, 2, rank, tag, '**[' || CASE tag WHEN 'brand#12' THEN 'Brand twelve' ELSE {_TITLED} END || '](tags/' || tag || '.md)** (' || count(*) || ')' || CASE tag WHEN 'brand#12' THEN ' — made | here' ELSE '' END || ':' FROM g GROUP BY scheme, tag, rank
+UNION ALL SELECT {_README}, 2, rank, tag || chr(1) || printf('%010d', number) || chr(1) || code, '[' || printf('%03d', number) || '](../../docs/' || code || '.md)' FROM g
+UNION ALL SELECT {_README}, 3, number, code, '| [' || code || '](../../docs/' || code || '.md)' || CASE WHEN version > 1 THEN ' v' || version ELSE '' END || ' | ' || title || ' | ' || status || ' |' FROM docs""")
+def scheme_pages(spark: SparkSession, d: str) -> DataFrame:
+    meanings = spark.createDataFrame([(s, *m, i) for s in _SCHEMES for i, m in enumerate(_MEANINGS)], "scheme string, status string, label string, blurb string, ordinal int")
+    declared = spark.createDataFrame([(s, *t, i) for s in _SCHEMES for i, t in enumerate(_DECLARED)], "scheme string, tag string, label string, blurb string, ordinal int")
+    return pages.scheme_pages(derived.docs(spark, d), _views(spark), meanings, declared)
+
+
+@_query("assembled_pages", """SELECT 'docs/' || lower(scheme) || '.md' AS path, 0 AS block, 0 AS number, '' AS code, '# ' || scheme || ' documents' AS line FROM (SELECT unnest(['RFC', 'SPEC']) AS scheme)
+UNION ALL SELECT 'docs/' || lower(d.scheme) || '.md', 1, d.number, d.code, '<a name="' || lower(d.scheme) || '-' || d.number || '"></a>' || chr(10) || chr(10) || '## ' || d.number || '. ' || d.title || chr(10) || chr(10) || 'Body.' || chr(10) || chr(10) || '*v' || d.version
+|| ' · shaped by ' || CASE WHEN e.code IS NULL THEN d.influence ELSE '[' || d.influence || '](' || d.influence || '.md)' END || CASE WHEN d.status <> 'Active' THEN ' · **' || d.status || '**' ELSE '' END || ' · origin: ' || d.title || '*' FROM docs d LEFT JOIN docs e ON e.code = d.influence WHERE d.scheme <> 'ADR'""")
+def assembled_pages(spark: SparkSession, d: str) -> DataFrame:
+    outputs = spark.createDataFrame([("RFC", "docs/rfc.md", "Active"), ("SPEC", "docs/spec.md", "Active")], "scheme string, output string, active string")
+    docs = derived.docs(spark, d)
+    body, origin = F.concat(F.lit("# "), "code", F.lit(": "), "title", F.lit("\n\nBody.\n")), F.to_json(F.struct(F.concat("title", F.lit(".")).alias("origin")))
+    return pages.assembled_pages(docs.withColumn("body", body).withColumn("meta", origin), outputs)
+
+
+@_query("journal_pages", """SELECT event_type AS journal, strftime(ts, '%Y-%m') AS book, date_trunc('second', ts) AS created, printf('%012d', event_id) AS path, block, CASE block WHEN 1 THEN '- [' || strftime(ts, '%-d %b %H:%M') || ' — ' || event_type || ' ' || user_id || '](#' || strftime(ts, '%Y%m%d%H%M%S') || ')'
+ELSE '<a id="' || strftime(ts, '%Y%m%d%H%M%S') || '"></a>' || chr(10) || chr(10) || '## ' || event_type || ' ' || user_id || chr(10) || chr(10) || trim(coalesce(props, '')) END AS line FROM events, (VALUES (1), (2)) b(block)""", with_=False)
+def journal_pages(spark: SparkSession, d: str) -> DataFrame:
+    return pages.journal_pages(derived.entries(spark, d), "month")
+
+
+@_query("page_anchors", """SELECT path, number, coalesce(max(CASE WHEN named THEN anchor END), max(anchor)) AS anchor FROM (SELECT 'p/' || s_suppkey || '.md' AS path, CAST(s_suppkey % 7 AS INT) AS number, (s_suppkey % 7) || '-' || replace(regexp_replace(lower(s_name), '[^a-z0-9 -]', '', 'g'), ' ', '-') AS anchor, false AS named FROM supplier
+UNION ALL SELECT 'p/' || s_suppkey || '.md', CAST(s_nationkey % 7 AS INT), 'dp-' || (s_nationkey % 7), true FROM supplier) GROUP BY path, number""", with_=False)
+def page_anchors(spark: SparkSession, d: str) -> DataFrame:
+    n = lambda c: (F.col(c) % 7).cast("string")
+    text = F.concat(F.lit("# Head\n\n## "), n("s_suppkey"), F.lit(". "), "s_name", F.lit("!\n\ntext\n<a name=\"dp-"), n("s_nationkey"), F.lit("\"></a>\n"))
+    return pages.anchors(derived.table(spark, d, "supplier").select(F.concat(F.lit("p/"), F.col("s_suppkey").cast("string"), F.lit(".md")).alias("path"), text.alias("text")))
+
+
+@_query("resolved_references", f""", former AS (SELECT former, arg_max(code, number * 100000 + ascii(code)) AS code FROM docs GROUP BY 1),
+r AS (SELECT o_orderkey AS k, CASE o_orderkey % 4 WHEN 0 THEN 'docs/' || {_sql_code('o_custkey')} || '.md' WHEN 1 THEN 'docs/spec.md' ELSE 'notes/n.md' END AS path, CASE WHEN o_orderkey % 4 < 2 THEN 'docs' ELSE 'notes' END AS base, o_custkey,
+  CASE o_orderkey % 3 WHEN 0 THEN 'issue' ELSE 'scheme' END AS kind, CASE WHEN o_orderkey % 3 = 2 THEN 'old-' || o_custkey ELSE {_sql_code('o_custkey')} END AS code FROM orders)
+SELECT k, CASE WHEN kind = 'issue' THEN CASE WHEN o_custkey // 3 > 20 THEN 'https://x.test/' || (o_custkey // 3) END WHEN d.code IS NULL OR d.path = r.path THEN NULL
+  WHEN d.scheme = 'SPEC' THEN CASE r.path WHEN 'docs/spec.md' THEN '' ELSE CASE r.base WHEN 'docs' THEN 'spec.md' ELSE '../docs/spec.md' END END || '#' || CASE d.number % 2 WHEN 1 THEN 'odd-' || d.number ELSE 'spec-' || d.number END
+  WHEN r.base = 'docs' THEN d.code || '.md' ELSE '../docs/' || d.code || '.md' END AS target
+FROM r LEFT JOIN former f ON f.former = r.code LEFT JOIN docs d ON d.code = coalesce(f.code, r.code)""")
+def resolved_references(spark: SparkSession, d: str) -> DataFrame:
+    docs, o = derived.docs(spark, d), derived.table(spark, d, "orders")
+    number, code, key = F.expr("CAST(o_custkey div 3 AS int)"), derived._code("o_custkey"), F.col("o_orderkey")
+    tailed = key % 3 == 2
+    refs = o.select(
+        key.alias("k"), F.when(key % 4 == 0, F.concat(F.lit("docs/"), code, F.lit(".md"))).when(key % 4 == 1, "docs/spec.md").otherwise("notes/n.md").alias("path"), F.when(key % 4 < 2, "docs").otherwise("notes").alias("base"),
+        F.when(key % 3 == 0, "issue").otherwise("scheme").alias("kind"), F.when(tailed, "old").otherwise(derived._prefix("o_custkey")).alias("prefix"), F.when(~tailed, number).alias("num"),
+        F.when(tailed, F.col("o_custkey").cast("string")).otherwise("").alias("tail"), F.lit(False).alias("cued"),
+    )
+    schemes = spark.createDataFrame([("ADR", "index", ""), ("RFC", "index", ""), ("SPEC", "document", "docs/spec.md")], "scheme string, render string, output string")
+    odd = docs.where("scheme = 'SPEC'").select(F.lit("docs/spec.md").alias("path"), "number", F.when(F.col("number") % 2 == 1, F.concat(F.lit("odd-"), F.col("number").cast("string"))).alias("anchor"))
+    return resolution.targets(refs, docs, schemes, odd, "https://x.test/{n}", highest=20).select("k", "target")
+
+
+_FOREIGN = """f AS (SELECT s_suppkey AS k, (['UP', 'TK', 'ID', 'NO', 'XX'])[CAST(s_suppkey % 5 AS INT) + 1] AS prefix, (['ADR', 'DP', 'RFC'])[CAST(s_nationkey % 3 AS INT) + 1] AS family FROM supplier),
+a AS (SELECT k, prefix, family, family || '-' || printf('%03d', k) AS code, EXISTS (SELECT 1 FROM supplier s WHERE s.s_suppkey * 2 = k) AS listed FROM f),
+l AS (SELECT k, prefix, CASE prefix WHEN 'ID' THEN family || '-' || k ELSE lower(family) || '-' || k END AS tail, CASE prefix WHEN 'ID' THEN family || '-' || k ELSE code END AS code,
+  CASE prefix WHEN 'XX' THEN 'none' WHEN 'ID' THEN 'identifier' WHEN 'TK' THEN 'url' WHEN 'NO' THEN 'dir' ELSE CASE family WHEN 'DP' THEN 'section' WHEN 'RFC' THEN CASE WHEN listed THEN 'family-dir' ELSE 'absent' END ELSE CASE WHEN listed THEN 'dir' ELSE 'absent' END END END AS rung,
+  CASE prefix WHEN 'XX' THEN '' WHEN 'ID' THEN 'https://i.test/' || family || '/' || k || '?id=' || family || '-' || k WHEN 'TK' THEN 'https://t.test/' || code || '/' || k || '/' || family WHEN 'NO' THEN 'https://github.com/a/b/blob/main/' || code || '.md'
+  ELSE CASE family WHEN 'DP' THEN 'https://github.com/o/r/blob/main/docs/dp.md#dp-' || k WHEN 'RFC' THEN CASE WHEN listed THEN 'https://github.com/o/r/blob/main/rfcs/' || lower(code) || '-x.md' ELSE '' END ELSE CASE WHEN listed THEN 'https://github.com/o/r/blob/main/docs/' || lower(code) || '-x.md' ELSE '' END END END AS link FROM a)
+"""
+
+
+def _foreign(spark: SparkSession, d: str) -> DataFrame:
+    s = derived.table(spark, d, "supplier")
+    pick = lambda names, key: F.element_at(F.array(*map(F.lit, names)), (F.col(key) % len(names) + 1).cast("int"))
+    families, key = ("ADR", "DP", "RFC"), F.col("s_suppkey").cast("string")
+    prefix, family = pick(("UP", "TK", "ID", "NO", "XX"), "s_suppkey"), pick(families, "s_nationkey")
+    refs = s.select(prefix.alias("prefix"), F.concat(F.when(prefix == "ID", family).otherwise(F.lower(family)), F.lit("-"), key).alias("tail"))
+    even = s.select(F.explode(F.array(*map(F.lit, families))).alias("f"), (F.col("s_suppkey") * 2).alias("n")).select(T.code(F.col("f"), F.col("n")).alias("code"))
+    lock = even.select(F.lit("UP").alias("remote"), "code", F.concat(F.lower("code"), F.lit("-x.md")).alias("filename"))
+    known = spark.createDataFrame([("UP", "", "o/r", "main", "docs", "", "-", ""), ("TK", "", "", "main", "", "https://t.test/{code}/{number}/{prefix}", "-", ""), ("ID", "", "", "", "", "https://i.test/{1}/{2}?id={uid}", ":", "([A-Z]+)-([0-9]+)"), ("NO", "", "a/b", "main", "", "", "-", "")], remotes.REMOTES)
+    shapes = spark.createDataFrame([("UP", "DP", "", "docs/dp.md", "", ""), ("UP", "RFC", "rfcs", "", "", "")], remotes.FAMILIES)
+    return remotes.ladder(refs, known, lock, shapes)
+
+
+@_query("remote_ladder", f"WITH {_FOREIGN} SELECT prefix, tail, code, rung, link FROM l", with_=False)
+def remote_ladder(spark: SparkSession, d: str) -> DataFrame:
+    return _foreign(spark, d)
+
+
+@_query("remote_rungs", f"WITH {_FOREIGN} SELECT prefix, rung, count(*) AS cites, count(DISTINCT code) AS codes FROM l GROUP BY prefix, rung", with_=False)
+def remote_rungs(spark: SparkSession, d: str) -> DataFrame:
+    return remotes.rung_summary(_foreign(spark, d))
+
+
+@_query("discovered_names", f"""SELECT 'R' || (p_size % 3) AS remote, {_sql_code('p_partkey')} AS code, min(lower({_P.format(k='p_partkey')}) || '-' || (p_partkey // 3) || '-' || replace(p_name, ' ', '-') || '.md') AS filename FROM part GROUP BY 1, 2""", with_=False)
+def discovered_names(spark: SparkSession, d: str) -> DataFrame:
+    name = F.concat(F.lower(derived._prefix("p_partkey")), F.lit("-"), F.expr("CAST(p_partkey div 3 AS string)"), F.lit("-"), F.translate("p_name", " ", "-"), F.lit(".md"))
+    return remotes.discovered(derived.table(spark, d, "part").select(F.concat(F.lit("R"), (F.col("p_size") % 3).cast("string")).alias("remote"), name.alias("name")))
+
+
+_LINKED = "'[' || code || '](../docs/' || code || '.md)'"
+
+
+@_query("pending_report", f"""SELECT 1 AS block, date, cites, code, '| ' || coalesce(strftime(date, '%Y-%m-%d'), 'undated') || ' | ' || status_word || ' | ' || {_LINKED} || ' | ' || cites || ' | ' || unacknowledged || ' | ' || title || ' |' AS line FROM ({_PENDING})
+UNION ALL SELECT 2, date, cites, code, {_LINKED} FROM ({_PENDING}) WHERE cites = 0""")
+def pending_report(spark: SparkSession, d: str) -> DataFrame:
+    return reports.pending_report(pending_documents(spark, d), derived.docs(spark, d), "reports")
+
+
+@_query("pending_console", f"""SELECT date, cites, code, CASE WHEN length(age) < 6 THEN lpad(age, 6, ' ') ELSE age END || CASE WHEN days >= {STALE_DAYS} THEN '!' ELSE ' ' END || ' ' || CASE WHEN length(status_word) < 8 THEN rpad(status_word, 8, ' ') ELSE status_word END || '  ' || CASE WHEN length(code) < 10 THEN rpad(code, 10, ' ') ELSE code END
+|| '  ' || CASE WHEN length(CAST(cites AS VARCHAR)) < 5 THEN lpad(CAST(cites AS VARCHAR), 5, ' ') ELSE CAST(cites AS VARCHAR) END || '  ' || title AS line FROM (SELECT *, date_diff('day', date, DATE '{AS_OF}') AS days, coalesce(date_diff('day', date, DATE '{AS_OF}') || 'd', '?') AS age FROM ({_PENDING}))""")
+def pending_console(spark: SparkSession, d: str) -> DataFrame:
+    return reports.pending_console(pending_documents(spark, d), AS_OF, STALE_DAYS, code_width=10)
+
+
+@_query("pending_sentence", f"""SELECT 'pending decisions: ' || n || ' undecided document(s), oldest ' || oldest || ' days' || CASE WHEN stale > 0 THEN ', ' || stale || ' over {STALE_DAYS} days' ELSE '' END || CASE WHEN undated > 0 THEN ', ' || undated || ' undated' ELSE '' END
+|| CASE WHEN relied_on <> n THEN ', ' || relied_on || ' with unacknowledged references' ELSE '' END AS line FROM ({ORACLES['pending_headline'].partition(_WITH)[2]})""")
+def pending_sentence(spark: SparkSession, d: str) -> DataFrame:
+    return reports.pending_sentence(pending_headline(spark, d), STALE_DAYS)
+
+
+@_query("status_counters", "SELECT state, count(DISTINCT code) AS codes, count(*) AS cites, count(*) FILTER (excused_by IS NOT NULL) AS excused, count(DISTINCT path) AS files FROM classified GROUP BY state")
+def status_counters(spark: SparkSession, d: str) -> DataFrame:
+    return reports.status_counters(_classified(spark, d))
+
+
+@_query("reference_report", f"""SELECT c.code, 0 AS pick, '### ' || CASE WHEN d.code IS NULL THEN c.code ELSE '[' || c.code || '](../docs/' || c.code || '.md) — ' || d.title END || ' (' || n || CASE n WHEN 1 THEN ' citation' ELSE ' citations' END || ' in ' || m || CASE m WHEN 1 THEN ' file)' ELSE ' files)' END AS line
+FROM (SELECT code, count(*) AS n, count(DISTINCT path) AS m FROM classified WHERE excused_by IS NULL AND state <> 'active' GROUP BY code) c LEFT JOIN docs d USING (code)
+UNION ALL SELECT code, pick, '- [' || path || ':' || line || '](../' || path || ')' FROM ({ORACLES['sites_top5'].partition(_WITH)[2]})""")
+def reference_report(spark: SparkSession, d: str) -> DataFrame:
+    found = _classified(spark, d)
+    return reports.reference_report(found, citations.spread(found), derived.docs(spark, d), "reports")
+
+
+@_query("journal_listing", f"SELECT journal, count(DISTINCT strftime(created, '%Y-%m-%d')) AS books, count(*) AS entries, min(created) AS first, max(created) AS last FROM ({_ENTRIES}) GROUP BY journal", with_=False)
+def journal_listing(spark: SparkSession, d: str) -> DataFrame:
+    return reports.journal_listing(journal_books(spark, d))
+
+
+@_query("move_plan", f""", o AS (SELECT s_suppkey AS k, lower({_sql_code('s_suppkey')}) AS doc, {_sql_code('s_suppkey')} AS old, CASE WHEN s_nationkey < 20 THEN 'RFC' ELSE 'NOPE' END AS dest, s_nationkey < 5 AS copy, 'tmp' || printf('%05d', s_suppkey) AS tail FROM supplier),
+m AS (SELECT o.*, d.number, d.scheme, d.path, CASE WHEN dest = 'NOPE' THEN 'both schemes must be configured' WHEN d.code IS NULL THEN old || ' has no document' END AS problem FROM o LEFT JOIN docs d ON d.code = o.old)
+SELECT doc, old, CASE WHEN problem IS NULL THEN dest || '-' || tail END AS new, path, CASE WHEN problem IS NULL THEN 'docs/' || dest || '-' || tail || '.md' END AS new_path, CASE WHEN problem IS NULL THEN CASE WHEN copy THEN 'copy' ELSE 'move' END END AS act,
+CASE WHEN problem IS NULL AND copy THEN 'Superseded — by ' || dest || '-' || tail END AS status, CASE WHEN problem IS NULL AND NOT copy THEN scheme || '-' || number END AS formerly, CASE WHEN problem IS NULL AND NOT copy THEN CASE scheme WHEN 'SPEC' THEN '#spec-' || number ELSE old || '.md' END END AS old_address, problem FROM m""")
+def move_plan(spark: SparkSession, d: str) -> DataFrame:
+    s, key = derived.table(spark, d, "supplier"), F.col("s_nationkey")
+    operations = s.select(F.lower(derived._code("s_suppkey")).alias("doc"), F.when(key < 20, "rfc").otherwise("nope").alias("to"), F.when(key < 5, "supersede").alias("strategy"), F.format_string("tmp%05d", "s_suppkey").alias("tail"))
+    schemes = spark.createDataFrame([("ADR", "docs", "index"), ("RFC", "docs", "index"), ("SPEC", "docs", "document")], "scheme string, dir string, render string")
+    return resolution.move_plan(operations, derived.docs(spark, d), schemes)
+
+
+_LINES = f"""'# note ' || doc_id || chr(10) || 'per ADR-' || printf('%03d', {_N}) || ' and RFC ' || ({_N} % 50) || ' it works' || chr(10) || '<!-- inactive-ok: ADR-' || printf('%03d', {_N}) || ' — kept -->' || chr(10) || 'see https://example.test/SPEC-' || printf('%03d', {_N}) || ' for SPEC-' || printf('%03d', {_N} + 1) || chr(10)"""
+
+
+@_query("rebased_files", f"""SELECT 'notes/' || doc_id || '.md' AS path, md5({_LINES} || '[doc](../part/' || ({_N} % 300) || '.md#top) and [other](../notes/p' || ({_N} % 9) || '.md) and [web](http://x.test)' || chr(10) || coalesce(text, '')) AS digest FROM documents""", with_=False)
+def rebased_files(spark: SparkSession, d: str) -> DataFrame:
+    """Whole files as seen from another folder; the SQL knows the derived lines' links alone."""
+    return derived.files(spark, d).select("path", F.md5(P.rebase(F.col("text"), F.concat(P.relative(P.parent(F.col("path")), F.lit("docs")), F.lit("/")))).alias("digest"))
+
+
+@_query("site_counters", f"""SELECT count(*) AS links, count(DISTINCT doc_id) AS pages, count(*) FILTER (place = 'page') AS page, count(*) FILTER (place = 'asset') AS asset, count(*) FILTER (place = 'repository') AS repository, count(*) FILTER (place = 'unplaced') AS unplaced FROM (
+SELECT doc_id, CASE WHEN r IN (SELECT 'part/' || p_size || '.md' FROM part) THEN 'page' WHEN r IN (SELECT 'notes/p' || s_nationkey || '.md' FROM supplier) THEN 'asset' WHEN r IN (SELECT 'part/' || p_partkey || '.md' FROM part) THEN 'repository' ELSE 'unplaced' END AS place
+FROM (SELECT doc_id, unnest(['part/' || ({_N} % 300) || '.md', 'notes/p' || ({_N} % 9) || '.md']) AS r FROM documents))""", with_=False)
+def site_counters(spark: SparkSession, d: str) -> DataFrame:
+    named = lambda table, lead, key: derived.table(spark, d, table).select(F.concat(F.lit(lead), F.col(key).cast("string"), F.lit(".md")).alias("path")).distinct()
+    placed = links.retarget(links.targets(derived.files(spark, d)), named("part", "part/", "p_size"), named("supplier", "notes/p", "s_nationkey"), named("part", "part/", "p_partkey"))
+    return reports.site_counters(placed)
