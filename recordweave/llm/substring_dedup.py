@@ -196,6 +196,17 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     return spans
 
 
+def _parted(spans: DataFrame, wrong: DataFrame) -> DataFrame:
+    """``spans`` without those of ``wrong(source, at, n)``, whose words differ although hashes agree: of n windows
+    each is a span of its own, to be compared again; a single one is no repeat."""
+    names = spans.columns
+    marked = spans.withColumn("n", F.col("e") - F.col("s")).join(wrong.withColumn("bad", F.lit(True)), ["source", "at", "n"], "left")
+    windows = marked.where("bad AND n > 1").withColumn("j", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))))
+    moved = {"s": F.col("s") + F.col("j"), "e": F.col("s") + F.col("j") + 1, "at": F.col("at") + F.col("j")}
+    singles = windows.select(*(moved.get(c, F.col(c)).cast(spans.schema[c].dataType).alias(c) for c in names))
+    return marked.where("bad IS NULL").select(*names).unionByName(singles)
+
+
 def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (and kept: the words that stay, null if all do; and k) of every row of ``docs``."""
     if not 1 <= seed <= width:
@@ -219,9 +230,8 @@ def remove(docs: DataFrame, width: int = WIDTH, seed: int = SEED, with_text: boo
         wrong = out.where("kind = 'target'").select(*key, "digest").distinct().join(seen, [*key, "digest"], "left_anti").select(*key).distinct()
         if wrong.isEmpty():
             break
-        # words differ although hashes agree: such spans are no repeats
-        wrong = wrong.withColumn("e_s", F.col("n") - (width - 1)).select("source", "at", "e_s")
-        spans, attempt = cut(spans.withColumn("e_s", F.col("e") - F.col("s")).join(wrong, ["source", "at", "e_s"], "left_anti").drop("e_s"), f"{folder}/spans-{attempt}"), attempt + 1
+        wrong = wrong.select("source", "at", (F.col("n") - (width - 1)).alias("n"))
+        spans, attempt = cut(_parted(spans, wrong), f"{folder}/spans-{attempt}"), attempt + 1
     rows = out.where("kind = 'row'")
     return rows.select("doc_id", "n_words", "n_removed", "kept_sha256", *(["k", "kept"] if with_text else []))
 
