@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, mix, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, table, text_bytes
+from .common import Words, blocks, cut, inside, mix, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, spread_join, table, text_bytes
 
 WIDTH, SEED = 20, 8
 
@@ -181,8 +181,10 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     remove_dir(spark, f"{folder}/paths")
     release_shuffles(spark)
     edges = branching.select("k", "id", "start", F.posexplode("edges").alias("i", "edge")).select("edge", "k", "id", (F.col("start") + F.col("i")).cast("int").alias("start"))
-    source = edges.groupBy("edge").agg(F.min(here).alias("first"), F.count("*").alias("n_same")).where("n_same > 1").drop("n_same")
-    single = edges.join(source, "edge").select("k", "id", "start", F.lit(1).alias("n"), "first")
+    source = cut(edges.groupBy("edge").agg(F.min(here).alias("first"), F.count("*").alias("n_same")).where("n_same > 1"), f"{folder}/sources")
+    release_shuffles(spark)
+    n_edges = branching.agg(F.coalesce(F.sum(F.size("edges")), F.lit(0)).alias("n")).first().n
+    single = spread_join(edges, source, "edge", "n_same", n_edges).select("k", "id", "start", F.lit(1).alias("n"), "first")
     later = whole.unionByName(single).where("NOT (id = first.id AND start = first.start)")
     later = later.select("k", F.col("start").alias("s"), (F.col("start") + F.col("n")).alias("e"), F.col("first.id").alias("source"), F.col("first.start").alias("at"), (F.col("first.start") - F.col("start")).alias("shift"))
     # neighbouring repeats of one source and shift are one span
@@ -190,7 +192,7 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     fresh = F.coalesce((F.lag("e").over(order) < F.col("s")) | (F.lag("source").over(order) != F.col("source")) | (F.lag("shift").over(order) != F.col("shift")), F.lit(True))
     numbered = later.withColumn("island", F.sum(fresh.cast("int")).over(order))
     spans = cut(numbered.groupBy("k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("source").alias("source"), F.min("at").alias("at")).drop("island"), f"{folder}/spans")
-    for part in ("first", "whole", "branching"):
+    for part in ("first", "whole", "branching", "sources"):
         remove_dir(spark, f"{folder}/{part}")
     release_shuffles(spark)
     return spans
