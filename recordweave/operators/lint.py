@@ -14,21 +14,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import Catalog
+from ..catalog import STATUSES, Catalog, remotes_frame
 from ..functions import scanner
 from ..functions import text as T
-from . import checks, citations, identity, links
+from . import checks, citations, identity, links, remotes, views
 
 
 @dataclass(frozen=True)
 class Record:
     """The relations that checks read: files(path, text), documents, and, where there are any,
-    journal entries and the locks of remotes as (remote, code)."""
+    journal entries, the locks of remotes as (remote, code), what views should hold and what
+    is on disk in their place (both path, text), the text of the index of pages with the pages
+    it should name, and declared statuses as (scheme, status)."""
 
     files: DataFrame
     docs: DataFrame
     entries: DataFrame | None = None
     lock: DataFrame | None = None
+    rendered: DataFrame | None = None
+    on_disk: DataFrame | None = None
+    pages: DataFrame | None = None
+    index: DataFrame | None = None
+    statuses: DataFrame | None = None
 
 
 def remote_shapes(c: Catalog) -> tuple[tuple[str, str], ...]:
@@ -88,6 +95,13 @@ def violations(r: Record, c: Catalog) -> DataFrame:
             out.append(named(checks.tag_groups(own, s.tag_groups), "tags", F.concat_ws(" ", "group", "rule", "tags")))
     if r.entries is not None:
         out.append(checks.journals(r.entries).select(F.lit("journal").alias("check"), "path", F.col("problem").alias("message")))
+    if r.rendered is not None and r.on_disk is not None:
+        out.append(views.staleness(r.rendered, r.on_disk).select(F.lit("view").alias("check"), "path", F.col("state").alias("message")))
+    if r.pages is not None and r.index is not None:
+        out.append(checks.unindexed(r.pages, r.index).select(F.lit("index").alias("check"), "path", F.lit("the index does not name this page").alias("message")))
+    if r.statuses is not None:
+        odd = r.statuses.where(~F.col("status").isin(*STATUSES))
+        out.append(odd.select(F.lit("status").alias("check"), F.col("scheme").alias("path"), F.concat(F.lit("outside the vocabulary: "), "status").alias("message")))
     bare = bare_references(r.files, r.docs, c)
     out.append(bare.select(F.lit("bare-reference").alias("check"), "path", F.concat(F.col("line").cast("string"), F.lit(": "), "text", F.lit(" -> "), "target").alias("message")))
     wiki = wikilinks(r.files, r.docs)
@@ -100,10 +114,10 @@ def findings(r: Record, c: Catalog, existing: DataFrame | None = None) -> DataFr
     numbered = r.docs.where("number IS NOT NULL")
     directives = scanner.scan_directives(r.files)
     unlinted = directives.where("name = 'unlinted' AND scope = 'file'").select("path").distinct()
-    remotes, leads = remote_shapes(c), {r.prefix: r.prefix + r.delim for r in c.remotes}
+    spark, shapes, leads = r.files.sparkSession, remote_shapes(c), {r.prefix: r.prefix + r.delim for r in c.remotes}
     lock = r.lock and r.lock.replace(leads, subset=["remote"]).withColumnRenamed("remote", "lead")
-    cites = citations.extract(r.files.join(unlinted, "path", "left_anti"), tuple(s.prefix for s in c.schemes), r.docs, remotes, lock)
-    annots = citations.annotations(directives, numbered, remotes, lock)
+    cites = citations.extract(r.files.join(unlinted, "path", "left_anti"), tuple(s.prefix for s in c.schemes), r.docs, shapes, lock)
+    annots = citations.annotations(directives, numbered, shapes, lock)
     sound = annots.where("problem IS NULL")  # a malformed annotation excuses nothing, and is not stale besides
     found = citations.classify(cites, numbered, sound)
     n = lambda k: F.col(k).cast("string")
@@ -118,6 +132,15 @@ def findings(r: Record, c: Catalog, existing: DataFrame | None = None) -> DataFr
         named(annots.where("problem IS NOT NULL").select("path", "line", "problem").distinct(), "stale-directives", F.concat("path", F.lit(":"), n("line"), F.lit(" "), "problem")),
         named(citations.pending(numbered, found), "pending-documents", F.concat("code", F.lit(" ("), "status_word", F.lit("): "), n("cites"), F.lit(" citations"))),
     ]
+    if c.schemes:
+        old = identity.legacy_spellings(scanner.scan_references(r.files, tuple(s.prefix for s in c.schemes), shapes), r.docs)
+        out.append(named(old.distinct(), "legacy-spellings", F.concat("path", F.lit(":"), n("line"), F.lit(" "), "old", F.lit(" is "), "code")))
+    if c.remotes:
+        by_hand = hand_links(r.files, c)
+        files = spark.createDataFrame([], "remote string, code string, filename string") if r.lock is None or "filename" not in r.lock.columns else r.lock
+        urls = remotes.ladder(by_hand.select("prefix", "tail").distinct(), remotes_frame(spark, c), files).select("prefix", "tail", "link")
+        acks = directives.where("name = 'url-ok'").select("path", F.explode("args").alias("code"), "lo", "hi")
+        out.append(named(links.hand_written(by_hand, urls, acks), "hand-written-urls", F.concat("path", F.lit(":"), n("line"), F.lit(" "), "target", F.lit(" is not "), "link")))
     if existing is not None:
         bases = r.files.select("path", F.regexp_extract("path", r"^(.*?)/?[^/]*$", 1).alias("base"))
         acks = directives.where("name = 'target-ok'").select("path", F.explode("args").alias("target"), "lo", "hi")

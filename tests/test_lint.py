@@ -42,3 +42,26 @@ def test_report_and_rewrites(spark):
     assert {r.path: r.text for r in lint.stamp_formerly(stamped).collect()} == {"a": "---\nformerly: [O-1]\nx: 1\n---\nb", "b": "---\nformerly: [O-2, O-1]\n---\n", "c": "---\nformerly: [O-1]\n---\n", "d": "---\nformerly: [O-1]\n---\nb"}
     lines = spark.createDataFrame([("t", 1, "[a.x]"), ("t", 2, 'd = "old"'), ("t", 3, "[b]"), ("t", 4, 'd = "old"')], "path string, line_no int, line string")
     assert [r.line for r in lint.section_paths(lines, ("a",), {"old": "new"}).orderBy("line_no").collect()] == ["[a.x]", 'd = "new"', "[b]", 'd = "old"']
+
+
+def test_every_check_and_finding_is_wired(spark, tmp_path):
+    doc = "---\ntitle: Nine\nstatus: Active\ntags: [x]\ndate: '2024-01-01'\nformerly: [ADR-tmpaaaaa]\n---\n# ADR-009: Nine\n"
+    note = "see ADR-tmpaaaaa and [UP-ADR-032](http://wrong) and [UP-ADR-033](https://github.com/o/r/blob/main/ADR-033.md)\n\nthen [UP-ADR-034](http://kept) <!-- url-ok: UP-ADR-034 — moved -->\n"
+    for path, text in {"record/ADR-009.md": doc, "n.md": note}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(text)
+    c = catalog.load('[record]\n[record.schemes.ADR]\ndir = "record"\n[record.remotes.UP]\nrepo = "o/r"\n')
+    files = records.files(spark, str(tmp_path))
+    text = lambda *rows: spark.createDataFrame(rows, "path string, text string")
+    r = lint.Record(
+        files.where("path = 'n.md'"), records.documents(files, c.schemes[0]),
+        rendered=text(("v/a.md", "new"), ("v/b.md", "same")), on_disk=text(("v/a.md", "old"), ("v/b.md", "same"), ("v/c.md", "x")),
+        pages=text(("docs/a.md", ""), ("docs/b.md", "")).select("path"), index=text(("docs/README.md", "[a](docs/a.md)")).select("text"),
+        statuses=spark.createDataFrame([("ADR", "Active"), ("ADR", "Sleeping")], "scheme string, status string"),
+    )
+    bad = {(v.check, v.path) for v in lint.violations(r, c).collect()}
+    assert {("view", "v/a.md"), ("view", "v/c.md"), ("index", "docs/b.md"), ("status", "ADR")} <= bad
+    assert not {("view", "v/b.md"), ("index", "docs/a.md")} & bad
+    found = {(f["class"], f.message) for f in lint.findings(r, c).collect()}
+    assert ("legacy-spellings", "n.md:1 ADR-tmpaaaaa is ADR-009") in found
+    assert {m for k, m in found if k == "hand-written-urls"} == {"n.md:1 http://wrong is not https://github.com/o/r/blob/main/ADR-032.md"}
