@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, cut, inside, mix, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, spread_join, table, text_bytes
+from .common import HOT_SHARE, Words, blocks, cut, inside, mix, ngrams, release_shuffles, remove_dir, row_key, shared_dir, signed, small_batches, spread_join, table, text_bytes
 
 WIDTH, SEED = 20, 8
 
@@ -173,11 +173,14 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     here = F.struct("id", "start")
     first = cut(paths.groupBy("a", "d").agg(F.min(here).alias("first"), F.count("*").alias("n_same")), f"{folder}/first")
     release_shuffles(spark)
-    variants = first.groupBy("a").agg(F.count("*").alias("variants"))
-    linear = first.join(variants.where("variants = 1"), "a").where("n_same > 1").select("a", "d", "first")
+    n_paths = paths.count()
+    by_anchor = first.groupBy("a").agg(F.count("*").alias("variants"), F.sum("n_same").alias("n_rows"))
+    forks = cut(by_anchor.where("variants > 1").select("a", "n_rows"), f"{folder}/forks")  # anchors of several paths
+    hot = F.broadcast(forks.where(F.col("n_rows") > max(1, int(n_paths * HOT_SHARE))))  # fewer than 1 / HOT_SHARE
+    linear = first.where("n_same > 1").join(hot, "a", "left_anti").join(forks, "a", "left_anti").select("a", "d", "first")
     whole = cut(paths.select("a", "d", "id", "start", "k", "n").join(linear, ["a", "d"]).select("k", "id", "start", "n", "first"), f"{folder}/whole")
     release_shuffles(spark)
-    branching = cut(paths.select("a", "id", "start", "k", "edges").join(variants.where("variants > 1").select("a"), "a", "left_semi").drop("a"), f"{folder}/branching")
+    branching = cut(spread_join(paths.select("a", "id", "start", "k", "edges"), forks, "a", "n_rows", n_paths, "left_semi").drop("a"), f"{folder}/branching")
     remove_dir(spark, f"{folder}/paths")
     release_shuffles(spark)
     edges = branching.select("k", "id", "start", F.posexplode("edges").alias("i", "edge")).select("edge", "k", "id", (F.col("start") + F.col("i")).cast("int").alias("start"))
@@ -192,7 +195,7 @@ def _spans(docs: DataFrame, folder: str, width: int, seed: int) -> DataFrame:
     fresh = F.coalesce((F.lag("e").over(order) < F.col("s")) | (F.lag("source").over(order) != F.col("source")) | (F.lag("shift").over(order) != F.col("shift")), F.lit(True))
     numbered = later.withColumn("island", F.sum(fresh.cast("int")).over(order))
     spans = cut(numbered.groupBy("k", "island").agg(F.min("s").alias("s"), F.max("e").alias("e"), F.first("source").alias("source"), F.min("at").alias("at")).drop("island"), f"{folder}/spans")
-    for part in ("first", "whole", "branching", "sources"):
+    for part in ("first", "whole", "branching", "forks", "sources"):
         remove_dir(spark, f"{folder}/{part}")
     release_shuffles(spark)
     return spans
