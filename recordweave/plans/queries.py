@@ -241,9 +241,9 @@ def file_link_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 @_query("broken_targets", f"""SELECT path, 5 AS line, target, resolved FROM (SELECT 'notes/' || doc_id || '.md' AS path, unnest([{{'target': '../part/' || ({_N} % 300) || '.md#top', 'resolved': 'part/' || ({_N} % 300) || '.md'}}, {{'target': './a/../p' || ({_N} % 9) || '.md', 'resolved': 'notes/p' || ({_N} % 9) || '.md'}}], recursive := true) FROM documents)
-WHERE resolved NOT IN (SELECT 'part/' || p_size || '.md' FROM part)""", with_=False)
+WHERE resolved NOT IN (SELECT 'part/' || p_partkey || '.md' FROM part)""", with_=False)
 def broken_targets(spark: SparkSession, d: str) -> DataFrame:
-    here = derived.table(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_size").cast("string"), F.lit(".md")).alias("path")).distinct()
+    here = derived.table(spark, d, "part").select(F.concat(F.lit("part/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"))
     files = derived.files(spark, d)
     return links.broken(links.targets(files), files.select("path", F.lit("notes").alias("base")), here)
 
